@@ -7,23 +7,29 @@ because a recursive closure over all pairs is too slow in SQL on whole tables; a
 
 from __future__ import annotations
 
+import corpus_pipeline
 from millrace.llm.decontamination import OP10_SQL, op10_decontamination
+from millrace.llm.embeddings import op7_embedding_duplicates
 from millrace.llm.licenses import op2_license_scan
 from millrace.llm.mixing import op1_mixing
 from millrace.llm.near_duplicates import op4_near_duplicates
 from millrace.llm.pii import op9_pii
 from millrace.llm.secret_scans import op8_secret_scan
 from millrace.llm.tokens import op5_token_files
+from millrace.llm.toxicity import op3_toxicity
 from millrace.llm.urls import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_license_scan": op2_license_scan,
+    "op3_toxicity": op3_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_token_files": op5_token_files,
     "op6_url_filter": op6_url_filter,
+    "op7_embedding_duplicates": op7_embedding_duplicates,
     "op8_secret_scan": op8_secret_scan,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op6_url_filter": OP6_SQL, "op10_decontamination": OP10_SQL}
