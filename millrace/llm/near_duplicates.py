@@ -60,10 +60,8 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; A-Z lower-cased, words between ASCII white space."""
     import xxhash
 
-    texts = texts.cast(pa.large_string())
-    if texts.offset:  # the ASCII kernels misread slices, so a slice becomes an array of its own
-        texts = texts.take(pa.array(np.arange(len(texts))))
-    texts = pc.fill_null(texts, "")
+    texts = texts.take(pa.array(np.arange(len(texts))))  # the ASCII kernels misread slices: an array of its own
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
     starts = np.asarray(words.offsets).astype(np.int64)
     coded = words.values.dictionary_encode()
