@@ -10,7 +10,7 @@ import os
 import socket
 from dataclasses import replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -522,16 +522,16 @@ def from_(env, target, index):
         k = index.right.value * (1 if index.op == "+" else -1)
         w = env.window(True)
         rank, size = F.row_number().over(w) - 1, F.count(F.lit(1)).over(env.window(False))
-        whole = w.rowsBetween(-(1 << 62), 1 << 62)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         near = F.lead(v.col, k).over(w) if k >= 0 else F.lag(v.col, -k).over(w)
-        wrapped = F.nth_value(v.col, 1).over(whole) if False else F.last(v.col).over(whole)
+        wrapped = F.last(v.col).over(whole)
         if k < -1:
             raise NotCompilable("wrapping by more than one")
         col = near if k >= 0 else F.when(rank + k < 0, wrapped).otherwise(near)
         error = F.when(rank + k >= size, F.lit("message index out of bounds")) if k > 0 else None
         return Val(col, v.type, error)
     k = constant(index, env, "index")
-    whole = env.window(True).rowsBetween(-(1 << 62), 1 << 62)
+    whole = env.window(True).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     if k >= 0:
         col = F.nth_value(v.col, k + 1).over(whole)
     else:
@@ -542,7 +542,7 @@ def from_(env, target, index):
 @method("from_all")
 def from_all(env, target):
     v = C.compile_expr(target, env)
-    whole = env.window(True).rowsBetween(-(1 << 62), 1 << 62)
+    whole = env.window(True).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = F.collect_list(F.struct(v.col.alias("x"))).over(whole)
     return Val(F.transform(rows, lambda r: r["x"]), T.ArrayType(v.type))
 
@@ -1133,8 +1133,6 @@ def batch_size(env):
 @function("count")
 def count(env, name):
     """A named counter from 1 in the order of the rows. The counter spans all batches, so its window has no partition."""
-    from pyspark.sql import Window
-
     if env.inner or not env.order:
         raise NotCompilable("a counter needs an order")
     return Val(F.row_number().over(Window.orderBy(*env.order)).cast("long"), LONG)

@@ -296,7 +296,7 @@ def string_of(v: Val) -> Val:
         exact = F.when(whole, F.floor(d).cast("string")).when((F.abs(d) >= 1e-3) & (F.abs(d) < 1e6), d.cast("string"))
         return Val(F.coalesce(exact, F.when(d.isNull(), F.lit("null")), d.cast("string")), STRING, v.error)
     if v.type == VARIANT:
-        return Val(F.coalesce(F.try_variant_get(v.col, "$", "string"), F.to_json(v.col)), STRING, v.error)
+        return Val(F.coalesce(F.try_variant_get(v.col, "$", "string"), F.to_json(v.col), F.lit("null")), STRING, v.error)
     return Val(json_text(v), STRING, v.error)
 
 
@@ -544,6 +544,8 @@ def _method(n: P.Method, env: Env) -> Val:
     from millrace.functions.columns import METHOD_COLUMNS, PYTHON_METHODS
 
     named = {k.rstrip("_"): v for k, v in n.named}
+    if n.name in ("sum", "max", "min", "length") and not n.args and (over := _over_batch(n, env)) is not None:
+        return over
     if n.name in METHOD_COLUMNS:
         try:
             return METHOD_COLUMNS[n.name](env, n.target, *n.args, **named)
@@ -557,6 +559,22 @@ def _method(n: P.Method, env: Env) -> Val:
     raise NotCompilable(f"method {n.name}")
 
 
+def _over_batch(n: P.Method, env: Env) -> Val | None:
+    """``x.from_all().sum()`` and its like as plain window aggregates, and with ``.slice(0, batch_index() + 1)`` as running ones: no array is built."""
+    source, running = n.target, False
+    if isinstance(source, P.Method) and source.name == "slice" and source.args == (P.Lit(0), P.Bin("+", P.Call("batch_index"), P.Lit(1))):
+        source, running = source.target, True
+    if not isinstance(source, P.Method) or source.name != "from_all":
+        return None
+    w = env.window(True).rowsBetween(Window.unboundedPreceding, 0) if running else env.window(False)
+    if n.name == "length":
+        return Val(F.count(F.lit(1)).over(w), LONG)
+    v = number(compile_expr(source.target, env))
+    col = {"sum": lambda: F.sum(v.col.cast("double")), "max": lambda: F.max(v.col), "min": lambda: F.min(v.col)}[n.name]()
+    error = None if v.error is None else F.min(v.error).over(w)
+    return Val(col.over(w), DOUBLE if n.name == "sum" else v.type, error)
+
+
 def python(name: str, target: Val, args: tuple[Val, ...]) -> Val:
     """One method run by the interpreter's library in an Arrow step on its own arguments."""
     from millrace.functions.columns import PYTHON_METHODS

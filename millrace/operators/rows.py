@@ -245,7 +245,8 @@ def while_(stream: Stream, conf, res: Resources) -> Stream:
     rest = stream
     for i in range(most):
         if not (conf.get("at_least_once") and i == 0):
-            flag = rest.df.withColumn("_arm", predicate(rest, conf["check"]))
+            # the random factor keeps the optimizer from copying the check of every round into the scan
+            flag = rest.df.withColumn("_arm", predicate(rest, conf["check"]) & (F.rand() >= 0))
             done.append(Stream(flag.where(~F.col("_arm")).drop("_arm")))
             rest = Stream(flag.where("_arm").drop("_arm"))
             if not conf.get("max_loops") and rest.df.isEmpty():
