@@ -57,6 +57,23 @@ def unstage(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Text that a Python step takes at a time, in bytes.
+SLICE = 4 << 20
+
+
+def slices(batch, column: str, most: int = SLICE):
+    """Slices of an Arrow batch with a bounded amount of text (one row at least)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0)).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone; all other letters stay."""
     return F.translate(c, UPPER, UPPER.lower())
@@ -82,3 +99,34 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__right_{k}"))
     return left.join(other, on, how).drop(*[f"__right_{k}" for k in keys])
+
+
+def filtered(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """The rows of docs (all columns, whatever their names) that have a mark (doc_id, _h: hash of the text), or with left_anti have none."""
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.xxhash64("text").alias("_h"))
+    return attach(packed, marks, ["doc_id", "_h"], how).select("row.*")
+
+
+def groups(batches, keys: list[str]):
+    """Tables of the rows of one group each; rows come sorted by the keys and groups are of bounded size."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch[k]) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, z in zip(starts, starts[1:]):
+            key = tuple(c[a] for c in cols)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, z - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

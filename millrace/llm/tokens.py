@@ -11,7 +11,8 @@ temporary name and renamed, so a task that runs again or twice leaves the same f
 systems, so the folder may lie wherever these reach; a local folder is memory-mapped.
 
 ASCII white space always separates tokens of this tokenizer, so texts are cut there and each distinct piece is
-encoded once per worker (the table of pieces is bounded and starts anew when full).
+encoded once as long as a worker remembers it; pieces are cut into words where the tokenizer cuts them, so that
+punctuation and case make no new words. The ids are the tokenizer's own.
 
 Defined results: null and empty texts have the end id alone; repeated rows are written each on its own; other
 columns are ignored; an empty table gives an empty folder and no rows.
@@ -20,21 +21,23 @@ columns are ignored; an empty table gives an empty folder and no rows.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import new_path
+from millrace.llm.common import new_path, slices
 
 END_ID = 1
-#: Pieces that a worker remembers; about 150 bytes each.
-REMEMBERED = 400_000
-_WHITE = "\t\n\x0b\x0c\r "
+#: Pieces, and words of pieces, that a worker remembers; about 150 bytes each.
+REMEMBERED = 500_000
 
 
 def _filesystem(path: str):
@@ -50,26 +53,89 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Pieces of letters whose lower case and normal form are plain; others are encoded as they stand.
+_PLAIN = re.compile(r"[\x21-\x7eÀ-ÿ]+")
+#: Where the tokenizer itself cuts such a piece (fixed pattern of its vocabulary file).
+_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+
+
+class _Memory:
+    """Encoded pieces; when full, the older half is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most // 2, {}, {}
+
+    def missing(self, pieces) -> list[str]:
+        """Pieces that are not known; known ones become recent."""
+        out = []
+        for p in pieces:
+            if p not in self.new:
+                if (x := self.old.get(p)) is not None:
+                    self.new[p] = x
+                else:
+                    out.append(p)
+        return out
+
+    def trim(self) -> None:
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+
+
 class PieceEncoder:
-    """Encodes texts piece by piece; ids of a text as bytes of ``dtype``."""
+    """Encodes texts by their distinct pieces; ids of a text as an array of ``dtype``."""
 
     def __init__(self, path: str, dtype: str, remembered: int = REMEMBERED):
-        self.tokenizer, self.dtype, self.remembered, self.known = _tokenizer(path), dtype, remembered, {}
-        self.table = str.maketrans({c: " " for c in _WHITE})
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.translate(self.table).split(" ") if t else [] for t in texts]
-        known = self.known
-        fresh = list({p for ps in pieces for p in ps if p and p not in known})
-        if len(known) + len(fresh) > self.remembered:
-            known.clear()
-            fresh = list({p for ps in pieces for p in ps if p})
-        known[""] = b""
-        for i in range(0, len(fresh), 20_000):
-            some = fresh[i : i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[p] = np.asarray(e.ids, self.dtype).tobytes()
-        return [b"".join([known[p] for p in ps]) for ps in pieces]
+        self.tokenizer, self.dtype = _tokenizer(path), dtype
+        self.pieces, self.words = _Memory(remembered), _Memory(remembered)
+
+    def _encode(self, items: list[str], into: dict) -> None:
+        """Each item on its own, many in one call."""
+        width = np.dtype(self.dtype).itemsize
+        for i in range(0, len(items), 5000):
+            some = items[i : i + 5000]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids, owner = np.asarray(e.ids, self.dtype).tobytes(), np.asarray([-1 if w is None else w for w in e.word_ids], np.int64)
+            cut = (np.searchsorted(owner, np.arange(len(some) + 1)) * width).tolist()
+            for p, a, z in zip(some, cut, cut[1:]):
+                into[p] = ids[a:z]
+
+    def _learn(self, distinct: list[str]) -> dict:
+        fresh = self.pieces.missing(distinct)
+        parts = {p: _CUT.findall(p.lower()) for p in fresh if _PLAIN.fullmatch(p)}
+        self._encode(self.words.missing(set().union(*parts.values())), self.words.new)
+        known, words = self.pieces.new, self.words.new
+        for p, cut in parts.items():
+            known[p] = b"".join([words[w] for w in cut])
+        self._encode([p for p in fresh if p not in parts], known)
+        return known
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in turn, and how many each has. The array must not be a slice."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        lists = pc.ascii_split_whitespace(texts)
+        bounds = np.asarray(lists.offsets).astype(np.int64)
+        coded = lists.values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = self._learn(distinct)
+        found = [known[p] for p in distinct]
+        width = np.dtype(self.dtype).itemsize
+        size = np.fromiter(map(len, found), np.int64, len(found)) // width
+        start = np.cumsum(size) - size
+        blob = np.frombuffer(b"".join(found), self.dtype)
+        self.pieces.trim()
+        self.words.trim()
+        codes = np.asarray(coded.indices)
+        n = size[codes]
+        ends = np.cumsum(n)
+        take = np.repeat(start[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        total = np.concatenate([[0], ends])
+        return blob[take], total[bounds[1:]] - total[bounds[:-1]]
+
+
+@cache
+def _encoder(path: str, dtype: str) -> PieceEncoder:
+    """One encoder a worker process, kept from task to task."""
+    return PieceEncoder(path, dtype)
 
 
 def _put(folder: str, name: str, data) -> None:
@@ -94,34 +160,36 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     laid = rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
+        import uuid
+
         from pyspark import TaskContext
 
+        gc.disable()  # many small objects and no cycles among them
         part = TaskContext.get().partitionId()
-        encoder, end = PieceEncoder(tokenizer_path, dtype), np.asarray([end_id], dtype).tobytes()
-        width, name, ids, lengths = len(end), f"part-{part:05d}", [], []
+        encoder, name, ids, lengths, nulls = _encoder(tokenizer_path, dtype), f"part-{part:05d}", [], [], 0
         fs, top = _filesystem(folder)
-        import uuid
-
         at = f"{top}/.{name}-{uuid.uuid4().hex}"
         with fs.open_output_stream(at) as out:
-            for b in batches:
-                done = [x + end for x in encoder.encode(b["text"].tolist())]
-                out.write(b"".join(done))
-                lengths.append(np.asarray([len(x) // width for x in done], "<u8"))
-                ids.append(b["doc_id"])
-        n = np.concatenate(lengths) if lengths else np.empty(0, "<u8")
-        if not len(n):
+            for whole in batches:
+                for b in slices(whole, "text"):
+                    body, n = encoder.encode(b["text"].take(pa.array(np.arange(b.num_rows))))
+                    ends = np.cumsum(n)
+                    out.write(np.insert(body, ends, np.asarray(end_id, dtype)).tobytes())
+                    lengths.append((n + 1).astype("<u8"))
+                    nulls += b["doc_id"].null_count
+                    ids.append(np.asarray(pc.fill_null(b["doc_id"], 0)).astype("<i8"))
+        if not sum(map(len, lengths)):
             fs.delete_file(at)
             return
+        n = np.concatenate(lengths)
         fs.move(at, f"{top}/{name}.bin")
-        doc_ids = pd.concat(ids)
-        null = doc_ids.isna().to_numpy()
-        _put(folder, f"{name}.doc", doc_ids.fillna(0).astype("int64").to_numpy().astype("<i8").tobytes())
+        _put(folder, f"{name}.doc", np.concatenate(ids).tobytes())
         _put(folder, f"{name}.len", n.tobytes())
-        yield pd.DataFrame({"part": [part], "docs": [len(n)], "tokens": [int(n.sum())], "nulls": [int(null.sum())]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(n)], "tokens": [int(n.sum())], "nulls": [nulls]})
 
-    counts = sorted(laid.mapInPandas(run, "part long, docs long, tokens long, nulls long").collect())  # one row a part
+    counts = sorted(laid.mapInArrow(run, "part long, docs long, tokens long, nulls long").collect())  # one row a part
     base, parts = 0, []
     for r in counts:
         parts.append({"part": r["part"], "docs": r["docs"], "tokens": r["tokens"], "nulls": r["nulls"], "base": base})
