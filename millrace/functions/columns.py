@@ -22,7 +22,7 @@ FUNCTION_COLUMNS: dict = {}
 METHOD_COLUMNS: dict = {}
 #: Result types of methods that the library runs in Python; json: any value, as a VARIANT.
 PYTHON_METHODS = {
-    "capitalize": "string", "unescape_html": "string", "escape_url_path": "string", "unescape_url_path": "string", "filepath_join": "string", "quote": "string", "unquote": "string",
+    "capitalize": "string", "unescape_html": "string", "escape_url_path": "string", "unescape_url_query": "string", "unescape_url_path": "string", "filepath_join": "string", "quote": "string", "unquote": "string",
     "format": "string", "string": "string", "re_find_object": "json", "re_find_all_object": "json", "re_find_all_submatch": "json", "parse_csv": "json", "parse_logfmt": "json", "parse_yaml": "json",
     "format_yaml": "binary", "format_json": "binary", "parse_url": "json", "parse_form_url_encoded": "json", "json_schema": "json", "infer_schema": "json", "hash": "binary", "encode": "string",
     "decode": "binary", "encrypt_aes": "binary", "decrypt_aes": "binary", "uuid_v5": "string", "compress": "binary", "decompress": "binary", "parse_duration": "bigint",
@@ -379,6 +379,9 @@ def number_(env, target, default=None):
     if isinstance(v.type, T.StringType):
         parsed = F.trim(v.col).try_cast("double")
         out = Val(parsed, DOUBLE, either(v.error, F.when(parsed.isNull(), F.lit("could not parse text as a number"))))
+    elif v.type == VARIANT:
+        parsed = F.try_variant_get(v.col, "$", "double")
+        out = Val(parsed, DOUBLE, either(v.error, F.when(parsed.isNull(), F.lit("could not parse value as a number"))))
     else:
         out = number(v)
         out = replace(out, col=out.col.cast("double"), type=DOUBLE) if not is_int(out.type) else out

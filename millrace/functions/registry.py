@@ -84,3 +84,12 @@ def function(*names: str, lazy=(), about: str = ""):
 def method(*names: str, lazy=(), raw: bool = False, about: str = ""):
     """Register a method; its first parameter (after ``ctx``) is the target."""
     return _register(METHODS, True, names, lazy, raw, about)
+
+
+def alias(new: str, old: str) -> None:
+    """Let configs call a function or method by a further name."""
+    from millrace.functions.columns import FUNCTION_COLUMNS, METHOD_COLUMNS, PYTHON_METHODS
+
+    for table in (FUNCTIONS, METHODS, FUNCTION_COLUMNS, METHOD_COLUMNS, PYTHON_METHODS):
+        if old in table:
+            table[new] = table[old]

@@ -6,8 +6,6 @@ its result is one row (an archive).
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -137,28 +135,78 @@ def batched(stream: Stream, policy: dict, res: Resources) -> Stream:
 # reductions
 
 
-_ALL = re.compile(r"^\s*(?:json\(\s*\"([^\"]+)\"\s*\)|this\.([\w.]+))\.from_all\(\)\.(sum|max|min|length)\(\)\s*$|^\s*batch_size\(\)\s*$")
+def _aggregate(node, env: C.Env):
+    """An expression over a batch as (aggregate, error): sums, extremes and counts of all rows, else the value of the first row."""
+    P = C.P
+    if node == P.Call("batch_size"):
+        return F.count("*"), None
+    if isinstance(node, P.Method) and node.name in ("sum", "max", "min", "length") and not node.args and isinstance(node.target, P.Method) and node.target.name == "from_all":
+        if node.name == "length":
+            return F.count("*"), None
+        v = C.number(C.compile_expr(node.target.target, env))
+        return {"sum": F.sum(v.col.cast("double")), "max": F.max(v.col), "min": F.min(v.col)}[node.name], v.error
+    if _reads_batch(node):
+        raise C.NotCompilable("an expression over all rows of a batch")
+    return F.min_by(C.compile_expr(node, env).col, "_seq"), None
+
+
+def _reads_batch(node) -> bool:
+    P = C.P
+    if isinstance(node, P.Method) and node.name in ("from", "from_all") or isinstance(node, P.Call) and node.name in ("batch_index", "count", "counter"):
+        return True
+    if isinstance(node, tuple):
+        return any(map(_reads_batch, node))
+    return any(_reads_batch(getattr(node, f)) for f in getattr(node, "__dataclass_fields__", ()))
+
+
+def reduced(stream: Stream, items: dict) -> Stream:
+    """One row per batch: field name to a syntax tree. Sums and their like combine before the shuffle, so a large batch is no
+    large group."""
+    s = stream.ensure("_seq", "_batch")
+    env, aggs, errors = s.env(), [], []
+    for name, node in items.items():
+        agg, error = _aggregate(node, env)
+        aggs.append(agg.alias(name))
+        if error is not None:
+            errors.append(F.min(error))
+    if s.has("_meta"):
+        aggs.append(F.min_by("_meta", "_seq").alias("_meta"))
+    if errors:
+        aggs.append(F.coalesce(*errors).alias("_e"))
+    out = Stream(s.df.groupBy("_batch").agg(F.min("_seq").alias("_seq"), *aggs))
+    return out.flag(F.col("_e"), "reduce").without("_e") if errors else out
+
+
+def reduction(mapping) -> dict | None:
+    """The fields of a mapping that keeps the first row of each batch and deletes the rest, or None if it is none such:
+    ``root = if batch_index() > 0 { deleted() } else { {...} }``, or fields and then ``root = if batch_index() > 0 { deleted() }``."""
+    P = C.P
+    later = [P.Bin(op, P.Call("batch_index"), P.Lit(0)) for op in (">", "!=")]
+    items: dict = {}
+    drops = False
+    for st in mapping.statements:
+        if not isinstance(st, P.Assign) or st.kind != "root":
+            return None
+        if not st.path:
+            v = st.value
+            if not isinstance(v, P.If) or len(v.arms) != 1 or v.arms[0][0] not in later or v.arms[0][1] != P.Call("deleted") or drops:
+                return None
+            drops = True
+            if v.other is not None:
+                if items or not isinstance(v.other, P.Obj) or not all(isinstance(k, P.Lit) for k, _ in v.other.items):
+                    return None
+                items = {k.value: x for k, x in v.other.items}
+        elif len(st.path) == 1:
+            items[st.path[0]] = st.value
+        else:
+            return None
+    return items if drops and items else None
 
 
 @processor("reduce")
 def reduce_(stream: Stream, conf, res: Resources) -> Stream:
-    """One row per batch: field name to an expression. ``x.from_all().sum()`` and its like become plain aggregates, which combine
-    before the shuffle; any other expression is taken from the batch's first row."""
-    s = stream.ensure("_seq", "_batch")
-    aggs = []
-    for name, text in conf.items():
-        m = _ALL.match(text)
-        if m is None:
-            v = C.compile_expr(C.P.parse_expression(text), s.env())
-            aggs.append(F.min_by(v.col, "_seq").alias(name))
-            continue
-        if m[3] is None or m[3] == "length":
-            aggs.append(F.count("*").alias(name))
-            continue
-        v = C.number(C.read(s.document(), tuple((m[1] or m[2]).split("."))))
-        aggs.append({"sum": F.sum(v.col.cast("double")), "max": F.max(v.col), "min": F.min(v.col)}[m[3]].alias(name))
-    out = s.df.groupBy("_batch").agg(F.min("_seq").alias("_seq"), *aggs)
-    return Stream(out)
+    """One row per batch: field name to the text of an expression."""
+    return reduced(stream, {name: C.P.parse_expression(text) for name, text in conf.items()})
 
 
 @processor("archive")

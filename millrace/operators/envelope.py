@@ -160,6 +160,11 @@ def processor(*names: str):
     return put
 
 
+def alias(new: str, old: str) -> None:
+    """Let configs call a processor by a further name."""
+    PROCESSORS[new] = PROCESSORS[old]
+
+
 @dataclass
 class Resources:
     """Named parts that configs refer to."""
@@ -177,6 +182,28 @@ class Resources:
     allow_commands: bool = False
 
 
+def cut(stream: Stream) -> Stream:
+    """Run the plan so far and go on from its rows, written to the folder of spark.checkpoint.dir; a stream goes on as it is.
+
+    Loops need it: plans that refer to themselves several times grow with the power of the rounds.
+    """
+    df = stream.df
+    if df.isStreaming:
+        return stream
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        import atexit
+        import shutil
+        import tempfile
+
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            where = tempfile.mkdtemp(prefix="millrace-checkpoint-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
+        sc.setCheckpointDir(where)
+    return Stream(df.checkpoint())
+
+
 def named(conf: dict) -> tuple[str, Any, str]:
     """The kind, the settings and the label of a component's config."""
     label = conf.get("label", "")

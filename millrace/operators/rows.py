@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 
 from millrace.lang import compile as C
 from millrace.lang import parser as P
-from millrace.operators.envelope import ERROR, ConfigError, Resources, Stream, apply_all, apply_processor, named, predicate, processor
+from millrace.operators.batches import reduced, reduction
+from millrace.operators.envelope import ERROR, ConfigError, Resources, Stream, apply_all, apply_processor, cut, named, predicate, processor
 
 
 def _mapped(stream: Stream, text: str, res: Resources, onto: bool, name: str) -> Stream:
@@ -16,6 +17,12 @@ def _mapped(stream: Stream, text: str, res: Resources, onto: bool, name: str) ->
     stream = stream.ensure("_meta") if writes_meta else stream
     if ("batch_" in text or ".from" in text or "count(" in text or "counter(" in text) and not stream.has("_seq"):
         stream = stream.ensure("_seq", "_batch")
+    try:
+        fields = None if onto else reduction(mapping)
+        if fields is not None and stream.has("_batch"):
+            return reduced(stream, fields)
+    except C.NotCompilable:
+        pass
     try:
         made = C.compile_mapping(mapping, stream.env(), onto)
     except C.NotCompilable:
@@ -193,7 +200,9 @@ def switch(stream: Stream, conf, res: Resources) -> Stream:
 def try_(stream: Stream, conf, res: Resources) -> Stream:
     """Children run on rows that have not failed."""
     for c in conf:
-        stream = stream.ensure("_error")
+        if not stream.has("_error"):  # nothing can have failed yet
+            stream = apply_processor(stream, c, res)
+            continue
         well = Stream(stream.df.where("_error IS NULL"))
         failed = Stream(stream.df.where("_error IS NOT NULL"))
         stream = _joined(apply_processor(well, c, res), failed)
@@ -226,8 +235,8 @@ def catch(stream: Stream, conf, res: Resources) -> Stream:
 def try_catch(stream: Stream, conf, res: Resources) -> Stream:
     """Children; rows that fail keep the error's text in metadata and run the catch children."""
     stream = stream.ensure("_error", "_meta")
-    own = Stream(stream.df.withColumn("_origin", F.col("_error")).withColumn("_error", F.lit(None).cast(ERROR)))
-    tried = try_(own, conf.get("processors", []), res)
+    own = Stream(stream.df.withColumn("_origin", F.col("_error")).drop("_error"))
+    tried = try_(own, conf.get("processors", []), res).ensure("_error")
     key = conf.get("error_metadata", "error")
     well = Stream(tried.df.where("_error IS NULL"))
     failed = tried.df.where("_error IS NOT NULL")
@@ -239,19 +248,18 @@ def try_catch(stream: Stream, conf, res: Resources) -> Stream:
 
 @processor("while")
 def while_(stream: Stream, conf, res: Resources) -> Stream:
-    """Children run again on rows for which the check holds, ``max_loops`` times at most (1000 by default, unrolled as long as any row is left)."""
-    most = conf.get("max_loops") or 1000
+    """Children run again on rows for which the check holds, ``max_loops`` times at most, until no row is left. Each round runs
+    when it is planned and goes on from its rows; in a stream the rounds are unrolled."""
     done: list[Stream] = []
     rest = stream
-    for i in range(most):
+    for i in range(conf.get("max_loops") or 1000):
         if not (conf.get("at_least_once") and i == 0):
-            # the random factor keeps the optimizer from copying the check of every round into the scan
-            flag = rest.df.withColumn("_arm", predicate(rest, conf["check"]) & (F.rand() >= 0))
+            flag = rest.df.withColumn("_arm", predicate(rest, conf["check"]))
             done.append(Stream(flag.where(~F.col("_arm")).drop("_arm")))
             rest = Stream(flag.where("_arm").drop("_arm"))
-            if not conf.get("max_loops") and rest.df.isEmpty():
+            if not rest.df.isStreaming and rest.df.isEmpty():
                 break
-        rest = apply_all(rest, conf.get("processors", []), res)
+        rest = cut(apply_all(rest, conf.get("processors", []), res))
     return rest.union(*done)
 
 
@@ -275,7 +283,7 @@ def retry(stream: Stream, conf, res: Resources) -> Stream:
     for i in range(most + 1):
         out = apply_all(todo, conf.get("processors", []), res)
         counted = F.map_concat(F.map_filter("_meta", lambda k, _: k != "retry_count"), F.create_map(F.lit("retry_count"), F.lit(str(i))))
-        out = Stream(out.df.withColumn("_meta", counted))
+        out = cut(Stream(out.df.withColumn("_meta", counted)))
         if i == most:
             done.append(out)
             break

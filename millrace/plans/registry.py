@@ -449,6 +449,15 @@ def op_group_by_value(spark, sf_dir):
     return fields(out).withColumn("quantity", F.round("quantity", 2))
 
 
+@query("SELECT l_shipdate AS day, count(*) AS n, round(sum(l_quantity), 2) AS quantity, max(l_discount) AS most FROM lineitem GROUP BY 1")
+def op_group_first_row(spark, sf_dir):
+    """The usual idiom: a mapping over each batch that keeps its first row; it becomes one aggregate."""
+    s = Stream.of(table(spark, sf_dir, "lineitem").withColumn("_line", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "_line")
+    text = 'root = if batch_index() > 0 { deleted() } else { {"day": this.l_shipdate, "n": batch_size(), "quantity": this.l_quantity.from_all().sum(), "most": this.l_discount.from_all().max()} }'
+    out = through(s, {"group_by_value": {"value": "${! this.l_shipdate }"}}, {"mapping": text})
+    return fields(out).withColumn("quantity", F.round("quantity", 2))
+
+
 @query("SELECT CASE WHEN event_type = 'click' THEN 'first' WHEN value > 50 THEN 'second' ELSE 'rest' END AS arm, count(*) AS n FROM events GROUP BY 1")
 def op_group_by_check(spark, sf_dir):
     conf = [{"check": 'this.event_type == "click"', "processors": [{"mapping": 'root.arm = "first"'}]}, {"check": "this.value > 50", "processors": [{"mapping": 'root.arm = "second"'}]}]

@@ -208,13 +208,22 @@ def socket_(conf, res: Resources) -> Stream:
     return local_rows(res, [c for c, _ in cut("lines", {}, data)])
 
 
-def _served(kind: str):
-    def run(conf, res: Resources) -> Stream:
-        raise ConfigError(f"{kind} listens without end: it is a streaming source, see streaming.sources")
+@input_("http_server")
+def http_server(conf, res: Resources) -> Stream:
+    from millrace.sources.net import http_received
 
-    return run
+    return local_rows(res, http_received(conf))
 
 
-for _name in ("http_server", "socket_server", "websocket"):
-    INPUTS[_name] = _served(_name)
+@input_("socket_server")
+def socket_server(conf, res: Resources) -> Stream:
+    from millrace.sources.net import socket_received
 
+    return local_rows(res, socket_received(conf))
+
+
+@input_("websocket")
+def websocket(conf, res: Resources) -> Stream:
+    from millrace.sources.net import websocket_received
+
+    return local_rows(res, websocket_received(conf))

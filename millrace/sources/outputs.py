@@ -259,12 +259,15 @@ def http_client(stream: Stream, conf, res: Resources) -> None:
     _each_partition(stream, send)
 
 
-def _served(kind: str):
-    def run(stream, conf, res):
-        raise ConfigError(f"{kind} serves without end; read the stream from a registered name (inproc) instead")
+@output("http_server")
+def http_server(stream: Stream, conf, res: Resources) -> None:
+    from millrace.sources.net import serve
 
-    return run
+    serve(stream, conf, res)
 
 
-for _name in ("http_server", "websocket"):
-    OUTPUTS[_name] = _served(_name)
+@output("websocket")
+def websocket(stream: Stream, conf, res: Resources) -> None:
+    from millrace.sources.net import send_frames
+
+    send_frames(stream, conf, res)
