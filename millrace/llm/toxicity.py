@@ -1,10 +1,12 @@
 """Toxicity by two class-conditional Kneser-Ney models, of toxic and of ordinary texts.
 
-Words and word pairs are counted by class over labelled texts (a text that repeats an expression counts once). Both
-models are interpolated Kneser-Ney: a discounted pair estimate backs off to the class's discounted word estimate,
-and that to one continuation distribution that both classes share, so what is rare is smoothed alike in both.
-Expressions whose classes do not differ beyond chance (log-likelihood ratio test below ``least_g``) are pruned to
-their back-off, where both models agree. A text's evidence is the difference of its log-likelihoods under the two
+Words, word stems (first ``STEM`` letters) and word pairs are counted by class over labelled texts: the texts that have an
+expression, but no more than the different words before it, as Kneser-Ney counts contexts, so copies of a text do not
+make its words count. Both models are interpolated Kneser-Ney: a discounted pair estimate backs off to the class's
+discounted word estimate, that to the stem's for words that are not known, and that to one continuation distribution
+that both classes share, so what is rare is smoothed alike in both. Expressions whose classes do not differ beyond
+chance (log-likelihood ratio test below ``least_g``), or by less than ``least_ratio`` (texts of one class may merely be
+longer), are pruned to their back-off; at the last, both models agree. A text's evidence is the difference of its log-likelihoods under the two
 models divided by its number of words; a logistic curve, fitted on labelled texts that no count has seen, turns it
 into a score.
 
@@ -30,13 +32,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, attach, staged, text_or_empty
+from millrace.llm.common import WORD, filtered, staged, text_or_empty
 
 PER_CLASS = 20_000
 MOST = 50_000
 LEAST_G = 25.0
+LEAST_RATIO = 4.0
 DISCOUNT = 0.75
 SCALE = 1000.0
+STEM = 5
 _WORDS = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 
 
@@ -49,6 +53,7 @@ class Model:
     """Log-likelihood ratios (toxic against ordinary) of kept expressions, and the curve of the score."""
 
     words: dict[str, float] = field(default_factory=dict)
+    stems: dict[str, float] = field(default_factory=dict)
     pairs: dict[str, dict[str, float]] = field(default_factory=dict)  # by second word, then by first
     slope: float = 0.0
     offset: float = -math.inf
@@ -60,10 +65,12 @@ class Model:
         words = _WORDS.findall(text.lower())
         if not words:
             return 0.0
-        single, pairs, total = self.words, self.pairs, 0.0
+        single, stems, pairs, total = self.words, self.stems, self.pairs, 0.0
         for i, w in enumerate(words):
             if w in single:
-                total += pairs[w].get(words[i - 1], single[w]) if i and w in pairs else single[w]
+                total += pairs[w].get(words[i - 1] if i else "", single[w]) if w in pairs else single[w]
+            elif len(w) > STEM and w[:STEM] in stems:
+                total += stems[w[:STEM]]
         return total / len(words)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -95,32 +102,49 @@ def _difference(t: str, o: str, all_t: int, all_o: int) -> Column:
     return F.when(p < 1, 2 * (term(a, nt, p) + term(b, no, p))).otherwise(F.lit(0.0))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, most: int = MOST, least_g: float = LEAST_G, discount: float = DISCOUNT) -> Model:
+def _versatile(texts: DataFrame, contexts: DataFrame, name: str) -> DataFrame:
+    """Counts of an expression by class: its texts, but no more than its contexts (ct, co)."""
+    counted = texts.join(contexts, name).select(name, F.least("t", "ct").alias("t"), F.least("o", "co").alias("o"), "types")
+    return staged(counted, "counts")
+
+
+def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, most: int = MOST, least_g: float = LEAST_G, least_ratio: float = LEAST_RATIO, discount: float = DISCOUNT) -> Model:
     sample = staged(labelled(docs, labels, per_class), "labelled")
     sizes = {(r["toxic"], r["held"]): r["n"] for r in sample.groupBy("toxic", (F.col("fold") == 4).alias("held")).agg(F.count("*").alias("n")).collect()}
     all_t, all_o = sizes.get((1, False), 0), sizes.get((0, False), 0)
     if not all_t or not all_o:
         return Model()
     by_class = lambda df, *keys: df.groupBy(*keys).agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("o"))
-    seen = sample.where("fold <> 4").select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w"))
-    words = staged(by_class(seen.select("toxic", F.explode(F.array_distinct("w")).alias("w")), "w"), "words")
-    two = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("h"), F.get("w", i).alias("w")))
-    pairs = staged(by_class(seen.where(F.size("w") > 1).select("toxic", F.explode(F.array_distinct(two)).alias("p")).select("toxic", "p.h", "p.w"), "h", "w"), "pairs")
+    seen = sample.where("fold <> 4").select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    once = lambda items, name: by_class(seen.select("toxic", F.explode(F.array_distinct(items)).alias(name)), name)
+    stem = lambda w: F.substring(w, 1, STEM)
+    two = F.zip_with(F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))), "w", lambda h, w: F.concat_ws(" ", h, w))  # text: structs are made distinct in quadratic time
+    pairs = staged(once(two, "p").select(F.substring_index("p", " ", 1).alias("h"), F.substring_index("p", " ", -1).alias("w"), "t", "o"), "pairs")
+    shared = pairs.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("ct"), F.count_if(F.col("o") > 0).alias("co"), F.count("*").alias("types"))
+    words = _versatile(once(F.col("w"), "w"), shared, "w")
+    before = lambda c: F.count_distinct(F.when(F.col(c) > 0, F.col("h")))
+    shared = pairs.where(F.length("w") > STEM).groupBy(stem("w").alias("s")).agg(before("t").alias("ct"), before("o").alias("co"), F.count_distinct("h").alias("types"))
+    stems = _versatile(once(F.transform(F.filter("w", lambda w: F.length(w) > STEM), stem), "s"), shared, "s")
 
-    totals = words.agg(F.sum("t"), F.sum("o"), F.count_if(F.col("t") > 0), F.count_if(F.col("o") > 0)).first()
     types = pairs.count()
-    after = pairs.groupBy("w").agg(F.count("*").alias("types"))
-    strong = lambda df: df.withColumn("g", _difference("t", "o", all_t, all_o)).where(F.col("g") >= least_g).orderBy(F.desc("g"), *[c for c in ("h", "w") if c in df.columns]).limit(most)
-    kept_words = strong(words).join(after, "w", "left").select("w", "t", "o", F.coalesce("types", F.lit(0)).alias("types")).collect()
+    strong = lambda df: df.withColumn("g", _difference("t", "o", all_t, all_o)).where(F.col("g") >= least_g).orderBy(F.desc("g"), *[c for c in ("h", "w", "s") if c in df.columns]).limit(most).drop("g")
     context = pairs.groupBy("h").agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"), F.count_if(F.col("t") > 0).alias("kt"), F.count_if(F.col("o") > 0).alias("ko"))
-    kept_pairs = strong(pairs).join(context, "h").select("h", "w", "t", "o", "ht", "ho", "kt", "ko").collect()
-
-    model, lower = Model(), {}
-    for r in kept_words:
-        shared = (r["types"] + 0.5) / (types + 1)
-        lower[r["w"]] = tuple((max(n - discount, 0) + discount * k * shared) / total for n, total, k in ((r["t"], totals[0], totals[2]), (r["o"], totals[1], totals[3])))
-        model.words[r["w"]] = math.log(lower[r["w"]][0] / lower[r["w"]][1])
-    for r in kept_pairs:
+    model = Model()
+
+    def estimates(table: DataFrame, name: str) -> dict[str, tuple[float, float]]:
+        n = table.agg(F.sum("t"), F.sum("o"), F.count_if(F.col("t") > 0), F.count_if(F.col("o") > 0)).first()
+        made = {}
+        for r in strong(table).collect():  # at most ``most`` rows
+            rest = (r["types"] + 0.5) / (types + 1)
+            pair = tuple((max(x - discount, 0) + discount * k * rest) / max(total, 1) for x, total, k in ((r["t"], n[0] or 0, n[2]), (r["o"], n[1] or 0, n[3])))
+            if abs(math.log(pair[0] / pair[1])) >= math.log(least_ratio):
+                made[r[name]] = pair
+        return made
+
+    lower = estimates(words, "w")
+    model.words = {w: math.log(a / b) for w, (a, b) in lower.items()}
+    model.stems = {s: math.log(a / b) for s, (a, b) in estimates(stems, "s").items()}
+    for r in strong(pairs).join(context, "h").select("h", "w", "t", "o", "ht", "ho", "kt", "ko").collect():
         if r["w"] not in lower:
             continue
         p = [(max(n - discount, 0) + discount * k * low) / total if total else low for n, total, k, low in ((r["t"], r["ht"], r["kt"], lower[r["w"]][0]), (r["o"], r["ho"], r["ko"], lower[r["w"]][1]))]
@@ -170,10 +194,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that are not predicted toxic, all columns kept."""
-    model = train(docs, labels, **options)
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"))
-    bad = staged(evidence(docs, model).where("score >= 0.5").select("doc_id", "_h").distinct().withColumn("bad", F.lit(True)), "toxic")
-    return attach(packed.withColumn("_h", F.xxhash64("text")).select("row", "doc_id", "_h"), bad, ["doc_id", "_h"]).where("bad IS NULL").select("row.*")
+    bad = evidence(docs, train(docs, labels, **options)).where("score >= 0.5").select("doc_id", "_h").distinct()
+    return filtered(docs, staged(bad, "toxic"), "left_anti")
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
