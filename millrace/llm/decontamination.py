@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import attach, staged
+from millrace.llm.common import attach, filtered, staged
 
 WIDTH = 10
 #: Words of benchmark items in one broadcast: about 100 bytes each in a worker.
@@ -132,8 +132,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH,
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs, all columns kept."""
     found = contamination(docs, benchmark, **options).where(F.size("spans") > 0)
-    hit = staged(found.select(F.col("doc_id").alias("_id"), F.col("_h")).distinct(), "leaky")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]) & (F.xxhash64(docs["text"]) == hit["_h"]), "left_anti")
+    return filtered(docs, staged(found.select("doc_id", "_h").distinct(), "leaky"), "left_anti")
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

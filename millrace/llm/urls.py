@@ -6,8 +6,8 @@ filter (one block of 256 bits per key, two bits in each of its four words), held
 few that pass meet the rules in an exact join, which removes the false positives. The longest rule wins; of two
 verdicts for the same rule block wins.
 
-The filter has 40 bytes for every 16 rules. It is broadcast only up to ``BROADCAST_RULES`` rules (about 10 MB);
-longer lists are joined by shuffle.
+The filter has 40 bytes for every 16 rules. It is broadcast up to ``FILTER_RULES`` rules (about 10 MB) and the rules
+themselves up to ``BROADCAST_RULES`` (about 10 MB too); longer lists are joined by shuffle.
 
 Defined results: null URL or one without ``://`` has empty host and path, no rule and the default verdict; repeated
 rows get the same result; other columns are ignored; an empty table gives an empty one.
@@ -28,7 +28,8 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-BROADCAST_RULES = 4_000_000
+FILTER_RULES = 4_000_000
+BROADCAST_RULES = 100_000
 _BITS = 16
 
 
@@ -67,9 +68,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, *, default: str = "allow") ->
         F.collect_set(F.length("rule_path")).alias("lengths"),
     ).first()
     n_blocks = max(1, -(-shape["n"] * _BITS // 256))
-    small = shape["n"] <= BROADCAST_RULES
-    hint = F.broadcast if small else (lambda df: df)
-    blocks = hint(bloom_blocks(rules, n_blocks))
+    hint = lambda df, most: F.broadcast(df) if shape["n"] <= most else df
+    blocks = hint(bloom_blocks(rules, n_blocks), FILTER_RULES)
 
     host = ascii_lower(F.coalesce(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
     path = F.coalesce(F.regexp_extract("url", r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
@@ -80,7 +80,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, *, default: str = "allow") ->
     keys = split.where(F.col("host") != "").select("page_id", "_h", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).where(F.col("suffix").isNotNull())
     keys = keys.select("page_id", "_h", "suffix", F.explode("prefixes").alias("prefix")).where(F.col("prefix").isNotNull())
     passed = maybe_listed(keys.withColumn("h", F.xxhash64("suffix", "prefix")), blocks, n_blocks)
-    listed = hint(rules.withColumnsRenamed({"h": "rule_h"}))
+    listed = hint(rules.withColumnsRenamed({"h": "rule_h"}), BROADCAST_RULES)
     exact = passed.join(listed, F.expr("h = rule_h AND suffix = rule_host AND prefix = rule_path"))
     length = F.length("rule_host") + F.length("rule_path")
     best = exact.groupBy("page_id", "_h").agg(F.max(F.struct(length.alias("n"), F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict")).alias("best"))
