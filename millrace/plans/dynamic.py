@@ -26,9 +26,8 @@ def _plain(v):
 def method_step(name: str, as_json: tuple[bool, ...], result: str):
     """A method of the library as an Arrow function of (target, arguments...) to struct<value, error>."""
     kind = {"json": "string"}.get(result, result)
-    n = len(as_json)
 
-    def run(*columns: pa.Array) -> pa.Array:
+    def step(*columns: pa.Array) -> pa.Array:
         from millrace.functions.library import METHODS
 
         call = METHODS[name]
@@ -48,11 +47,7 @@ def method_step(name: str, as_json: tuple[bool, ...], result: str):
                 errors.append(str(e))
         return pa.StructArray.from_arrays([pa.array(values, _arrow(kind)), pa.array(errors, pa.string())], names=["value", "error"])
 
-    # Arrow functions need a fixed number of annotated parameters.
-    names = [f"a{i}" for i in range(n)]
-    scope: dict = {"run": run, "pa": pa}
-    exec(f"def step({', '.join(f'{x}: pa.Array' for x in names)}) -> pa.Array:\n    return run({', '.join(names)})", scope)
-    return F.arrow_udf(scope["step"], f"value {kind}, error string")
+    return F.arrow_udf(step, f"value {kind}, error string")
 
 
 def _arrow(kind: str):
