@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import attach, staged
+from millrace.llm.common import attach, groups, staged
 from millrace.llm.graph import components
 
 THRESHOLD = 0.98
@@ -44,31 +44,6 @@ REVERSE = 128
 log = logging.getLogger(__name__)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of the rows of one group each; rows come sorted by the keys and groups are of bounded size."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [np.asarray(batch[k]) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, z in zip(starts, starts[1:]):
-            if a == z:
-                continue
-            key = tuple(c[a] for c in cols)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, z - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _matrix(column, dtype="<f4") -> np.ndarray:
     rows = column.to_pylist()
     return np.frombuffer(b"".join(rows), dtype).reshape(len(rows), -1)
@@ -153,7 +128,7 @@ def _projected(nodes: DataFrame, first: int, projections: int, cell: int, k: int
 
     def near(batches):
         out, held = [], 0
-        for group in _groups(batches, order):
+        for group in groups(batches, order):
             if group.num_rows < 2:
                 continue
             ids, x = np.asarray(group["node"]), _matrix(group["short"])
@@ -189,7 +164,7 @@ def _descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches):
         out, held = [], 0
-        for group in _groups(batches, ["x", "salt"]):
+        for group in groups(batches, ["x", "salt"]):
             if group.num_rows < 2:
                 continue
             ids, x = np.asarray(group["y"]), _matrix(group["short"])
@@ -264,7 +239,7 @@ def _counts(nodes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
     order = ["component_id", "i", "j"]
 
     def run(batches):
-        for group in _groups(batches, order):
+        for group in groups(batches, order):
             ids, copies, block, x = np.asarray(group["id"]), np.asarray(group["copies"]), np.asarray(group["block"]), _matrix(group["unit"], "<f8")
             i, j = group["i"][0].as_py(), group["j"][0].as_py()
             one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)

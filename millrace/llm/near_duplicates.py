@@ -9,9 +9,10 @@ similarity given how many registers are larger, smaller and equal and both set s
 the threshold is confirmed on the full sets.
 
 Documents with equal sets are one node from the start (a 64-bit hash of the sorted set; at 1e9 different sets two
-share a hash with a chance of 3%). Within a bucket no pairs are made: members are compared with a hub, then only the
-members outside the bucket's largest component take turns as hubs (1, then 8, 64, ... of them a round), until all
-others were hubs or joined it. So every pair of a bucket is either linked through others or was compared.
+share a hash with a chance of 3%). Within a bucket no pairs are made: members are compared with a hub, the one that
+meets most others over all buckets, then only members outside the bucket's largest component take turns as hubs (64, then
+1000 of them a round), block against block, until all others were hubs or joined it. So every pair of a bucket is
+either linked through others or was compared.
 
 Defined results: null text, or one without words, has an empty set and is linked with nothing (component: itself);
 fewer words than a shingle are one shingle; repeated rows are linked; columns other than doc_id and text are ignored
@@ -20,6 +21,7 @@ by ``near_duplicates`` and kept by ``without_near_duplicates``; an empty table g
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -29,17 +31,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import attach, staged
+from millrace.llm.common import attach, filtered, groups, slices, staged
 from millrace.llm.graph import components
 
 BASE, RATE, TOP = 1.001, 20.0, 65534
 ROWS = 5
 MISS = 1e-7
 SLACK = 5.0
-#: Members that are compared with a copy of a hub in one task.
-HUB_SHARE = 2048
-#: Text that is shingled at a time, in bytes.
-_SLICE = 8 << 20
+#: Members that are compared with a copy of a hub in one task, on full sets.
+HUB_SHARE = 256
+#: Hubs and members whose sketches meet in one task.
+HUBS, MEMBERS = 128, 512
+#: Registers of the fine sketches that are compared there.
+FINE = 1024
 _U = np.uint64
 
 
@@ -93,12 +97,26 @@ def _functions(m: int) -> tuple[np.ndarray, np.ndarray]:
 def sketch(elements: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The registers of a non-empty set."""
     least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(elements), 512):
-        np.minimum(least, ((elements[i : i + 512, None] ^ b) * a).min(axis=0), out=least)
+    step = max(32, 65536 // len(a))
+    for i in range(0, len(elements), step):
+        np.minimum(least, ((elements[i : i + step, None] ^ b) * a).min(axis=0), out=least)
     h = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / RATE
     return np.clip(np.floor(1 - np.log(h) / math.log(BASE)), 0, TOP + 1).astype("<u2")
 
 
+def fine_sketch(elements: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
+    """The low four bits of many registers, two a byte: enough to tell equal ones, at a sixteenth of chance."""
+    low = (sketch(elements, a, b) & 15).astype(np.uint8)
+    return (low[0::2] | low[1::2] << 4).tobytes()
+
+
+def fine_estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarities of pairs of fine sketches (rows of bytes): the share of equal registers less what chance gives."""
+    differ = x ^ y
+    equal = ((differ & 15) == 0).sum(axis=1) + ((differ >> 4) == 0).sum(axis=1)
+    return (equal / (2 * x.shape[1]) - 1 / 16) / (1 - 1 / 16)
+
+
 def merge(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Registers of the union."""
     return np.maximum(one, other)
@@ -121,15 +139,29 @@ def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, point
     return at
 
 
-def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with a bounded amount of text (one row at least)."""
-    size = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0)).astype(np.int64)
-    at = 0
-    ends = np.cumsum(size)
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE, "right")))
-        yield batch.slice(at, end - at)
-        at = end
+def reaches(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, cut: float, near: float) -> np.ndarray:
+    """Whether the similarity of greatest likelihood of each pair is ``cut`` or more.
+
+    The likelihood has one peak, so its slope at the cut tells on which side the peak lies. Pairs with too few equal
+    registers to come within ``near`` of the cut are not looked at further.
+    """
+    equal = (x == y).sum(axis=1)
+    out = equal >= (cut - near) * x.shape[1]
+    at = np.flatnonzero(out)
+    if not len(at):
+        return out
+    more = (x[at] > y[at]).sum(axis=1)
+    same, less = equal[at], x.shape[1] - more - equal[at]
+    u, v = nx[at] / (nx[at] + ny[at]), ny[at] / (nx[at] + ny[at])
+    p = lambda z: -np.log1p(-np.clip(z, 0, 1) * (BASE - 1) / BASE) / math.log(BASE)
+    top = np.minimum(u / v, v / u)
+
+    def likelihood(j):
+        up, down = np.maximum(p(u - v * j), 1e-12), np.maximum(p(v - u * j), 1e-12)
+        return more * np.log(up) + less * np.log(down) + same * np.log(np.maximum(1 - up - down, 1e-12))
+
+    out[at] = (top >= cut) & (likelihood(np.minimum(cut + 1e-3, top)) >= likelihood(np.minimum(cut, top) - 1e-3))
+    return out
 
 
 def _band_keys(sketches: np.ndarray, rows: int) -> np.ndarray:
@@ -151,7 +183,7 @@ def _sketched(docs: DataFrame, width: int, m: int) -> DataFrame:
 
         a, b = _functions(m)
         for whole in batches:
-            for batch in _slices(whole, "text"):
+            for batch in slices(whole, "text"):
                 sets = shingle_sets(batch["text"], width)
                 nodes = [xxhash.xxh64_intdigest(s.tobytes(), 5) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -176,6 +208,11 @@ def _bands(nodes: DataFrame, rows: int) -> DataFrame:
     return nodes.mapInArrow(run, "band long, node long, n long")
 
 
+def _cut(threshold: float, slack: float, m: int) -> float:
+    """Estimates from here on are confirmed: ``slack`` standard errors below the threshold."""
+    return threshold - slack * math.sqrt(threshold * (1 - threshold) / m)
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float, slack: float) -> DataFrame:
     """The pairs (node, hub) whose sketches do not speak clearly against the threshold."""
     one = nodes.select("node", F.col("n").alias("n1"), F.col("sketch").alias("s1"))
@@ -186,13 +223,59 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float, slack: float)
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("s1", "s2"))
-            j = estimate(x, y, np.asarray(batch["n1"], np.float64), np.asarray(batch["n2"], np.float64))
-            keep = pa.array(j >= threshold - slack * math.sqrt(threshold * (1 - threshold) / x.shape[1]))
+            cut = _cut(threshold, slack, x.shape[1])
+            keep = pa.array(reaches(x, y, np.asarray(batch["n1"], np.float64), np.asarray(batch["n2"], np.float64), cut, threshold - cut))
             yield pa.RecordBatch.from_arrays([batch["node"].filter(keep), batch["hub"].filter(keep)], names=["node", "hub"])
 
     return pairs.join(two, "hub").join(one, "node").mapInArrow(run, "node long, hub long")
 
 
+def _fine(texts: DataFrame, width: int) -> DataFrame:
+    def run(batches):
+        a, b = _functions(FINE)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays([batch["node"], pa.array([fine_sketch(s, a, b) for s in shingle_sets(batch["text"], width)], pa.binary())], names=["node", "fine"])
+
+    return texts.mapInArrow(run, "node long, fine binary")
+
+
+def _likely_in_blocks(now: DataFrame, chosen: DataFrame, fine: DataFrame, threshold: tuple[int, int], slack: float, rows: int) -> DataFrame:
+    """The same for buckets with many hubs: blocks of hubs meet blocks of members in one task each, and only likely pairs of
+    different components are written down, once. They are judged by fine sketches, as a group of copies that lie just below the
+    threshold has many pairs that coarse ones cannot rule out."""
+    hubs = chosen.withColumn("hub_block", F.floor((F.col("place") - 1) / HUBS))
+    sizes = now.join(hubs.groupBy("band").agg((F.max("hub_block") + 1).alias("hub_blocks")), "band").groupBy("band").agg(F.first("hub_blocks").alias("hub_blocks"), F.ceil(F.count("*") / MEMBERS).alias("shares"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    members = now.join(sizes, "band").select("band", upto("hub_blocks").alias("hub_block"), F.pmod(F.xxhash64("node"), F.col("shares")).alias("share"), F.lit(1).alias("role"), "node", "n", "comp")
+    heads = hubs.join(sizes, "band").select("band", F.col("hub_block").cast("long").alias("hub_block"), upto("shares").alias("share"), F.lit(0).alias("role"), F.col("hub").alias("node"), F.col("hub_n").alias("n"), F.col("hub_comp").alias("comp"))
+    order = ["band", "hub_block", "share"]
+    laid = members.unionByName(heads).join(fine, "node").repartition(*order).sortWithinPartitions(*order, "role")
+    t, (over, under) = threshold[0] / threshold[1], threshold
+    chance = t + (1 - t) / 16
+    cut = t - slack * math.sqrt(chance * (1 - chance) / FINE) / (1 - 1 / 16)
+
+    def run(batches):
+        for group in groups(batches, order):
+            role = np.asarray(group["role"])
+            ids, n, comp = (np.asarray(group[c]) for c in ("node", "n", "comp"))
+            x = np.frombuffer(b"".join(group["fine"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            keys = _band_keys(np.frombuffer(b"".join(group["sketch"].to_pylist()), "<u2").reshape(len(ids), -1), rows)
+            here = group["band"][0].as_py()
+            rest = np.flatnonzero(role == 1)
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for h in np.flatnonzero(role == 0):
+                fit = rest[(comp[rest] != comp[h]) & (np.minimum(n[rest], n[h]) * under >= np.maximum(n[rest], n[h]) * over)]
+                ok = fit[fine_estimate(x[fit], x[h][None]) >= cut]
+                if len(ok):  # a pair that shares several buckets is written down in the first of them
+                    ok = ok[keys[h][(keys[ok] == keys[h]).argmax(axis=1)] == here]
+                a.append(ids[ok])
+                b.append(np.full(len(ok), ids[h]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["node", "hub"])
+
+    return laid.select(*order, "role", "node", "n", "comp", "fine", "sketch").mapInArrow(run, "node long, hub long").distinct()
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
     """The pairs (node, hub) whose full sets reach the threshold (a fraction): every hub's set is built once a share."""
     share = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("members") / HUB_SHARE)))
@@ -207,7 +290,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: tuple[
     def run(batches):
         now, own = None, None
         for whole in batches:
-            for batch in _slices(whole, "text"):
+            for batch in slices(whole, "text"):
                 sets = shingle_sets(batch["text"], width)
                 found = []
                 for node, hub, part, role, s in zip(*(batch[c].to_pylist() for c in ("node", "hub", "share", "role")), sets):
@@ -229,39 +312,47 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, in
     sketched = staged(_sketched(docs, width, rows * bands_for(t, rows, miss)), "sketches")
     nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "_h")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     bands = staged(_bands(nodes.select("node", "n", "sketch"), rows), "bands")
-    shared = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
+    shared = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     bands = staged(bands.join(shared, "band"), "buckets")
+    bands = bands.drop("members").join(bands.groupBy("node").agg(F.sum("members").alias("central")), "node")  # how many others a node meets in all
+    bands = staged(bands.select("band", "node", "n", "central"), "buckets")
     wanted = bands.select("node").distinct()
     nodes = staged(nodes.join(wanted, "node"), "nodes")
     reps = nodes.select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep._h").alias("_h"))
     source = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.col("text").cast("string").alias("text"))
     texts = staged(attach(source, reps, ["doc_id", "_h"], "inner").dropDuplicates(["node"]).select("node", "text"), "texts")
 
-    links, comps, hubs = None, None, None
-    turn = 1
-    while True:
+    links, comps, hubs, fine = None, None, None, None
+    for most in itertools.chain([1, 64], itertools.repeat(1000)):
         now = bands if comps is None else attach(bands, comps.withColumnRenamed("id", "node"), ["node"])
-        now = now.withColumn("comp", F.col("node") if comps is None else F.coalesce("component_id", "node")).select("band", "node", "n", "comp")
-        if comps is None:
-            chosen = now.groupBy("band").agg(F.min(F.struct("node", "n", "comp")).alias("h")).select("band", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp"))
+        now = now.withColumn("comp", F.col("node") if comps is None else F.coalesce("component_id", "node")).select("band", "node", "n", "central", "comp")
+        if hubs is None:
+            chosen = now.groupBy("band").agg(F.max(F.struct("central", "node", "n", "comp")).alias("h")).select("band", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp"))
         else:
             sizes = now.groupBy("band", "comp").agg(F.count("*").alias("k"))
             largest = sizes.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("band", F.col("top.comp").alias("main"))
-            rest = now.join(largest, "band").where("comp <> main").join(hubs, ["band", "node"], "left_anti")
-            place = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("node"), "node"))
-            chosen = rest.withColumn("place", place).where(F.col("place") <= turn).select("band", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
+            now = staged(now.join(largest, "band"), "open")
+            rest = now.where("comp <> main").join(hubs, ["band", "node"], "left_anti")
+            place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("central"), "node"))
+            chosen = rest.withColumn("place", place).where(F.col("place") <= most).select("band", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), "place")
         chosen = staged(chosen, "hubs")
         if chosen.isEmpty():
             break
-        fits = F.least("n", "hub_n") * threshold[1] >= F.greatest("n", "hub_n") * threshold[0]
-        pairs = now.join(chosen, "band").where((F.col("comp") != F.col("hub_comp")) & fits).select("node", "hub").distinct()
-        met = _confirmed(staged(_likely(pairs, nodes, t, slack), "likely"), texts, width, threshold)
-        met = staged(met, "met")
-        links = met if links is None else links.unionAll(met)
+        if hubs is None:
+            fits = F.least("n", "hub_n") * threshold[1] >= F.greatest("n", "hub_n") * threshold[0]
+            pairs = now.join(chosen, "band").where((F.col("comp") != F.col("hub_comp")) & fits).select("node", "hub").distinct()
+            likely = _likely(pairs, nodes, t, slack)
+        else:
+            if fine is None:  # nodes of open buckets only become fewer
+                open_texts = texts.join(now.select("node").distinct(), "node", "left_semi")
+                fine = staged(_fine(open_texts, width).join(nodes.select("node", "sketch"), "node"), "fine")
+            likely = _likely_in_blocks(now.drop("main"), chosen, fine, threshold, slack, rows)
+        met = staged(_confirmed(staged(likely, "likely"), texts, width, threshold), "met")
         seen = chosen.select("band", F.col("hub").alias("node"))
         hubs = seen if hubs is None else hubs.unionAll(seen)
-        comps = components(links)
-        turn *= 8
+        if comps is None or not met.isEmpty():
+            links = met if links is None else links.unionAll(met)
+            comps = components(links)
     ids = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     if comps is not None:
         ids = attach(ids, comps.withColumnRenamed("id", "node"), ["node"]).withColumn("comp", F.coalesce("component_id", "node")).drop("component_id")
@@ -277,8 +368,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, in
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, all columns kept: that with the smallest doc_id, once."""
     judged = staged(near_duplicates(docs, **options).where("kept").groupBy("doc_id", "_h").agg(F.count("*").alias("times")), "kept")
-    keep = judged.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"))
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_k")), "left_semi")
+    out = filtered(docs, judged.select("doc_id", "_h"), "left_semi")
     if judged.groupBy("doc_id").agg(F.sum("times").alias("n")).where("n > 1").isEmpty():
         return out
     return out.dropDuplicates(["doc_id"])
@@ -287,3 +377,29 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, width=3, threshold=(85, 100)).drop("_h")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + 2], ' ') AS g FROM d, unnest(range(1, len(w) - 1)) AS t(i) WHERE len(w) >= 3
+  UNION ALL SELECT r, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), p AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n AS nx ON nx.r = x JOIN n AS ny ON ny.r = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), reach(r, t) AS (
+  SELECT r, r FROM d UNION SELECT reach.r, e.y FROM reach JOIN e ON e.x = reach.t
+), m AS (
+  SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.t GROUP BY reach.r
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN m USING (r) LEFT JOIN n USING (r)
+"""

@@ -1,8 +1,7 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express.
 
-SQL is None for the others: op1 (the offset is drawn by a keyed hash), op2, op7, op8 and op9 (columns of the method), op3
-(a trained model) and op5 (a tokenizer); tests hold these against brute force, round trips or held-out labels. op4 has none
-because a recursive closure over all pairs is too slow in SQL on whole tables; a test holds it against brute force.
+None is given for op1 (the offset is drawn by a keyed hash), op2, op7, op8 and op9 (columns of the method), op3 (a trained
+model), op5 (a tokenizer) and the pipeline (both); tests hold these against brute force, round trips or held-out labels.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from millrace.llm.decontamination import OP10_SQL, op10_decontamination
 from millrace.llm.embeddings import op7_embedding_duplicates
 from millrace.llm.licenses import op2_license_scan
 from millrace.llm.mixing import op1_mixing
-from millrace.llm.near_duplicates import op4_near_duplicates
+from millrace.llm.near_duplicates import OP4_SQL, op4_near_duplicates
 from millrace.llm.pii import op9_pii
 from millrace.llm.secret_scans import op8_secret_scan
 from millrace.llm.tokens import op5_token_files
@@ -32,4 +31,4 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op6_url_filter": OP6_SQL, "op10_decontamination": OP10_SQL}
+ORACLE_SQL = {"op4_near_duplicates": OP4_SQL, "op6_url_filter": OP6_SQL, "op10_decontamination": OP10_SQL}
