@@ -20,4 +20,7 @@ def ready(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # texts can be long: what a Python worker takes at a time is bounded by rows and by bytes
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
     return spark
