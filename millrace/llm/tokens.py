@@ -127,7 +127,8 @@ class PieceEncoder:
         codes = np.asarray(coded.indices)
         n = size[codes]
         ends = np.cumsum(n)
-        take = np.repeat(start[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        small = np.int32 if len(ends) and ends[-1] < 1 << 30 and len(blob) < 1 << 30 else np.int64
+        take = np.repeat((start[codes] - (ends - n)).astype(small), n) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=small)
         total = np.concatenate([[0], ends])
         return blob[take], total[bounds[1:]] - total[bounds[:-1]]
 
@@ -173,7 +174,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
         at = f"{top}/.{name}-{uuid.uuid4().hex}"
         with fs.open_output_stream(at) as out:
             for whole in batches:
-                for b in slices(whole, "text"):
+                for b in slices(whole, "text", 8 << 20):
                     body, n = encoder.encode(b["text"].take(pa.array(np.arange(b.num_rows))))
                     ends = np.cumsum(n)
                     out.write(np.insert(body, ends, np.asarray(end_id, dtype)).tobytes())
