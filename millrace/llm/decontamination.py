@@ -103,13 +103,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH,
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             windows = WindowSet(shared.value, width)
             for b in batches:
-                split = [words_of(t) for t in b["text"]]
-                found = [windows.find(w) for w in split]
-                yield pd.DataFrame({
-                    "doc_id": b["doc_id"], "_h": b["_h"], "n_words": [len(w) for w in split],
-                    "spans": [[{"start": a, "end": z} for a, z in spans] for spans, _ in found],
-                    "items": [sorted(map(str, items)) for _, items in found],
-                })
+                n, spans, items = [], [], []
+                for text in b["text"]:  # the words of one text at a time
+                    words = words_of(text)
+                    places, found = windows.find(words)
+                    n.append(len(words))
+                    spans.append([{"start": s, "end": e} for s, e in places])
+                    items.append(sorted(map(str, found)))
+                yield pd.DataFrame({"doc_id": b["doc_id"], "_h": b["_h"], "n_words": n, "spans": spans, "items": items})
 
         return rows.mapInPandas(run, schema)
 
