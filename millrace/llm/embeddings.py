@@ -4,9 +4,10 @@ Equal vectors of a label are one node with a multiplicity. A neighbour graph sta
 that share the signs of a few random hyperplanes (and a label) are compared inside cells of bounded size, and each
 keeps its ``k`` nearest. Rounds of neighbours-of-neighbours joins refine it: the neighbours of a node, in either
 direction, are compared with one another, and what beats a list's last entry enters it. A list whose last entry still
-reaches the threshold is saturated and doubles. After the rounds an audit compares a bounded sample of nodes with all
+reaches the threshold is saturated and doubles, up to ``most``; nodes of lists that are saturated still are compared
+with all of their label, block against block. After the rounds an audit compares a bounded sample of nodes with all
 others by brute force, in blocks; where the share of true links that lie inside one component falls short of
-``recall``, new projections and further rounds follow.
+``recall``, new projections and further rounds follow, and after ``tries`` of them all nodes are compared in blocks.
 
 Links are confirmed in double precision. The edges at the threshold give components; how many links a node has is
 then counted exactly among the members of its component, block against block, without writing pairs down.
@@ -40,6 +41,8 @@ RECALL = 0.995
 AUDITED = 256
 #: Members of a component that meet in one task of the exact count, and rows of a hub's reverse list in one join.
 BLOCK = 512
+#: Nodes of a side that meet in one task of the exact join.
+EXACT = 1024
 REVERSE = 128
 log = logging.getLogger(__name__)
 
@@ -198,6 +201,49 @@ def _confirmed(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return near.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
+def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of links that connect what the links of a block connect; fewer than rows and columns."""
+    rows, cols, out = np.ones(near.shape[0], bool), np.ones(near.shape[1], bool), []
+    for first in np.flatnonzero(near.any(axis=0)):
+        ahead = [first] if cols[first] else []
+        cols[first] = False
+        while ahead:
+            c = ahead.pop()
+            met = np.flatnonzero(near[:, c] & rows)
+            rows[met] = False
+            out += [(r, c) for r in met]
+            for r in met:
+                more = np.flatnonzero(near[r] & cols)
+                cols[more] = False
+                out += [(r, m) for m in more]
+                ahead += more.tolist()
+    found = np.asarray(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def _exact(nodes: DataFrame, dense: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that connect the nodes of ``dense`` with all they are linked with, by comparing them with all of their label."""
+    units = nodes.select("node", F.xxhash64("label", "dim").alias("part"), "unit")
+    dense = units.join(dense.select("node").distinct(), "node", "left_semi")
+    count = lambda df, name: df.groupBy("part").agg(F.ceil(F.count("*") / EXACT).cast("long").alias(name))
+    blocks = staged(count(dense, "js").join(count(units, "is"), "part"), "exact-blocks")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    one = units.join(blocks, "part").select("part", place("is").alias("i"), upto("js").alias("j"), F.lit(0).alias("side"), "node", "unit")
+    two = dense.join(blocks, "part").select("part", upto("is").alias("i"), place("js").alias("j"), F.lit(1).alias("side"), "node", "unit")
+    order = ["part", "i", "j"]
+
+    def run(batches):
+        for group in groups(batches, order):
+            ids, side, x = np.asarray(group["node"]), np.asarray(group["side"]), _matrix(group["unit"], "<f8")
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            near = (x[a] @ x[b].T >= threshold) & (ids[a][:, None] != ids[b][None, :])
+            r, c = _spanning(near)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a][r], pa.int64()), pa.array(ids[b][c], pa.int64())], names=["a", "b"])
+
+    return one.unionAll(two).repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+
+
 def _audit(nodes: DataFrame, comps: DataFrame, threshold: float, audited: int) -> float:
     """The share of true links of a bounded sample of nodes, found by brute force, that lie inside one component."""
     placed = attach(nodes, comps.withColumnRenamed("id", "node"), ["node"]).withColumn("comp", F.coalesce("component_id", "node"))
@@ -270,11 +316,17 @@ def embedding_near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOL
             graph = staged(_kept(found.unionByName(graph.select("a", "b", "s", F.lit(False).alias("fresh"))), lists, k), "graph")
             if graph.where(F.col("fresh") & (F.col("s") >= threshold - 0.02)).isEmpty():
                 break
-        comps = components(staged(_confirmed(graph, nodes, threshold), "links"))
+        links = staged(_confirmed(graph, nodes, threshold), "links")
+        dense = staged(graph.where((F.col("rank") == F.col("k")) & (F.col("s") >= threshold - 1e-4)).select(F.col("a").alias("node")), "dense")
+        if not dense.isEmpty():  # their lists may leave out links
+            links = links.unionAll(staged(_exact(nodes, dense, threshold), "exact"))
+        comps = components(links)
         found_share = _audit(nodes, comps, threshold, audited)
         log.info("audit: %.4f of the sampled links lie inside one component", found_share)
         if found_share >= recall:
             break
+    else:
+        comps = components(staged(_exact(nodes, nodes, threshold), "exact"))
     ids = attach(nodes.select("node", "copies", "least"), comps.withColumnRenamed("id", "node"), ["node"]).withColumn("comp", F.coalesce("component_id", "node")).drop("component_id")
     least = ids.groupBy("comp").agg(F.min("least").alias("component_id"))
     judged = ids.join(least, "comp").join(_counts(nodes, comps, threshold), "node", "left")

@@ -407,6 +407,34 @@ def test_embeddings(spark):
     assert embeddings.embedding_near_duplicates(df.limit(0)).count() == 0
 
 
+def _unit(x):
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def test_groups_larger_than_a_list_stay_joined(spark):
+    """Two tight groups of 300, joined by links that are nobody's 64 nearest."""
+    rng = np.random.default_rng(4)
+    one = _unit(rng.standard_normal(16))
+    off = _unit((v := rng.standard_normal(16)) - v @ one * one)
+    two = math.cos(0.205) * one + math.sin(0.205) * off
+    x = np.concatenate([_unit(c + 0.005 * rng.standard_normal((300, 16))) for c in (one, two)])
+    rows = [(i, [float(f) for f in v.astype("f4")], 1) for i, v in enumerate(x)]
+    want = brute_links(rows)
+    across = sum(n > 299 for _, n, _ in want)
+    assert across > 64 and {c for _, _, c in want} == {0}
+    out = embeddings.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in out.collect()) == want
+
+
+def test_a_failed_audit_ends_in_an_exact_join(spark):
+    rng = np.random.default_rng(5)
+    centres = _unit(rng.standard_normal((150, 16)))
+    rows = [(i, [float(f) for f in (centres[i // 2] + 0.01 * rng.standard_normal(16)).astype("f4")], 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    out = embeddings.embedding_near_duplicates(df, cell=1, k=1, most=1, projections=1, rounds=0, tries=1, recall=1.0)
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in out.collect()) == brute_links(rows)
+
+
 # op8
 
 
