@@ -2,12 +2,15 @@
 
 Equal vectors of a label are one node with a multiplicity. A neighbour graph starts from random projections: nodes
 that share the signs of a few random hyperplanes (and a label) are compared inside cells of bounded size, and each
-keeps its ``k`` nearest. Rounds of neighbours-of-neighbours joins refine it: the neighbours of a node, in either
-direction, are compared with one another, and what beats a list's last entry enters it. A list whose last entry still
+keeps its ``k`` nearest. Crowded cells are split by further hyperplanes; nodes of cells that stay crowded are compared
+with all of their label. There are as many projections as make it less likely than ``MISS`` that two vectors at the
+threshold share no cell. Rounds of neighbours-of-neighbours joins refine it: the neighbours of a node, in either
+direction, are compared with one another, and what beats a list's last entry enters it, until nothing near the
+threshold enters any more. A list whose last entry still
 reaches the threshold is saturated and doubles, up to ``most``; nodes of lists that are saturated still are compared
-with all of their label, block against block. After the rounds an audit compares a bounded sample of nodes with all
-others by brute force, in blocks; where the share of true links that lie inside one component falls short of
-``recall``, new projections and further rounds follow, and after ``tries`` of them all nodes are compared in blocks.
+with all of their label, block against block. After the rounds an audit compares a sample of nodes, linked ones and others, that grows with the square root of the
+data, with all others by brute force, in blocks; where the mean share over the linked nodes of true links that lie
+inside one component falls short of ``recall``, new projections and further rounds follow, and after ``tries`` of them all nodes are compared in blocks.
 
 Links are confirmed in double precision. The edges at the threshold give components; how many links a node has is
 then counted exactly among the members of its component, block against block, without writing pairs down.
@@ -20,7 +23,9 @@ other columns are ignored; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import itertools
 import logging
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +41,9 @@ K = 8
 MOST = 64
 CELL = 256
 PROJECTIONS = 6
-ROUNDS = 3
+#: Further hyperplanes that split a crowded cell, and the chance that a pair at the threshold shares no cell.
+MORE = 4
+MISS = 1e-3
 RECALL = 0.995
 AUDITED = 256
 #: Members of a component that meet in one task of the exact count, and rows of a hub's reverse list in one join.
@@ -98,8 +105,15 @@ def _edges(out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "s"])
 
 
-def _projected(nodes: DataFrame, first: int, projections: int, cell: int, k: int) -> DataFrame:
-    """Candidate edges (a, b, s): the k nearest of each node inside its cell of each random projection."""
+def projections_for(size: int, cell: int, threshold: float, miss: float = MISS) -> int:
+    """Projections at which two vectors at the threshold share no cell of a label of ``size`` nodes with a chance of ``miss`` at most."""
+    bits = math.ceil(math.log2(max(size / cell, 1))) + MORE
+    together = (1 - math.acos(max(-1.0, min(threshold, 1.0))) / math.pi) ** bits
+    return 1 if together >= 1 else math.ceil(math.log(miss) / math.log1p(-together))
+
+
+def _projected(nodes: DataFrame, first: int, projections: int, cell: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate edges (a, b, s): the k nearest of each node inside its cell of each random projection; and the nodes of cells that stay crowded."""
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("size"))
     rows = nodes.join(sizes, ["label", "dim"]).select("node", "short", F.xxhash64("label", "dim").alias("part"), "size")
 
@@ -111,23 +125,30 @@ def _projected(nodes: DataFrame, first: int, projections: int, cell: int, k: int
                 size, part = np.asarray(dim_rows["size"]), np.asarray(dim_rows["part"])
                 bits = np.ceil(np.log2(np.maximum(size / cell, 1))).astype(int)
                 for p in range(first, first + projections):
-                    cells = np.empty(len(vec), np.int64)
+                    cells, more = np.empty(len(vec), np.int64), np.empty(len(vec), np.int64)
                     dims = np.asarray([len(x) // 4 for x in vec])
                     for d in np.unique(dims):
                         at = np.flatnonzero(dims == d)
                         x = np.frombuffer(b"".join(vec[i] for i in at), "<f4").reshape(len(at), -1)
                         if (p, d) not in planes:
-                            planes[p, d] = np.random.default_rng([p, int(d)]).standard_normal((d, 40)).astype("f4")
+                            planes[p, d] = np.random.default_rng([p, int(d)]).standard_normal((d, 40 + MORE)).astype("f4")
                         signs = (x @ planes[p, d] > 0).astype(np.int64)
                         keep = np.arange(40)[None, :] < bits[at][:, None]
-                        cells[at] = (signs * keep) @ (1 << np.arange(40, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([dim_rows["node"], dim_rows["short"], pa.array(part), pa.array(np.full(len(vec), p)), pa.array(cells)], names=["node", "short", "part", "p", "cell"])
-
-    keyed = rows.mapInArrow(key, "node long, short binary, part long, p long, cell long")
-    crowd = keyed.groupBy("part", "p", "cell").agg(F.count("*").alias("n"))
-    salt = F.pmod(F.xxhash64("node", "p"), F.ceil(F.col("n") / (4 * cell)))
-    dealt = keyed.join(crowd, ["part", "p", "cell"]).withColumn("salt", salt)
-    order = ["part", "p", "cell", "salt"]
+                        cells[at] = (signs[:, :40] * keep) @ (1 << np.arange(40, dtype=np.int64))
+                        more[at] = signs[:, 40:] @ (1 << np.arange(MORE, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([dim_rows["node"], dim_rows["short"], pa.array(part), pa.array(np.full(len(vec), p)), pa.array(cells), pa.array(more)], names=["node", "short", "part", "p", "cell", "more"])
+
+    keyed = staged(rows.mapInArrow(key, "node long, short binary, part long, p long, cell long, more long"), "keyed")
+    order = ["part", "p", "cell", "more", "salt"]
+    fine = keyed.groupBy(*order[:4]).agg(F.count("*").alias("n"))
+    coarse = fine.groupBy(*order[:3]).agg(F.sum("n").alias("all"))
+    split = F.least(F.lit(MORE), F.ceil(F.log2(F.col("all") / cell))).cast("int")
+    mask = F.when(F.col("all") > 4 * cell, F.pow(F.lit(2.0), split).cast("long") - 1).otherwise(F.lit(0).cast("long"))
+    crowd = fine.join(coarse, order[:3]).withColumn("sub", F.col("more").bitwiseAND(mask))
+    crowd = crowd.join(crowd.groupBy(*order[:3], "sub").agg(F.sum("n").alias("met")), [*order[:3], "sub"]).select(*order[:4], "sub", "met")
+    salt = F.pmod(F.xxhash64("node", "p"), F.ceil(F.col("met") / (4 * cell)))
+    dealt = keyed.join(crowd, order[:4]).withColumn("salt", salt).withColumn("more", F.col("sub"))
+    dense = dealt.where(F.col("met") > 4 * cell).select("node").distinct()
 
     def near(batches):
         out, held = [], 0
@@ -143,7 +164,7 @@ def _projected(nodes: DataFrame, first: int, projections: int, cell: int, k: int
                 out, held = [], 0
         yield _edges(out)
 
-    return dealt.repartition(*order).sortWithinPartitions(*order).select(*order, "node", "short").mapInArrow(near, "a long, b long, s double")
+    return dealt.repartition(*order).sortWithinPartitions(*order).select(*order, "node", "short").mapInArrow(near, "a long, b long, s double"), dense
 
 
 def _kept(edges: DataFrame, lists: DataFrame | None, k: int) -> DataFrame:
@@ -245,9 +266,18 @@ def _exact(nodes: DataFrame, dense: DataFrame, threshold: float) -> DataFrame:
 
 
 def _audit(nodes: DataFrame, comps: DataFrame, threshold: float, audited: int) -> float:
-    """The share of true links of a bounded sample of nodes, found by brute force, that lie inside one component."""
-    placed = attach(nodes, comps.withColumnRenamed("id", "node"), ["node"]).withColumn("comp", F.coalesce("component_id", "node"))
-    sample = placed.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(audited).select("node", "label", "comp", "unit").collect()
+    """The mean share, over linked nodes, of a node's true links that lie inside its component.
+
+    Both nodes with a known link and others are sampled, each at least ``audited`` and the square root of the nodes.
+    """
+    placed = attach(nodes, comps.withColumnRenamed("id", "node"), ["node"])
+    placed = placed.withColumn("known", F.col("component_id").isNotNull()).withColumn("comp", F.coalesce("component_id", "node"))
+    sizes = {r["known"]: r["n"] for r in placed.groupBy("known").agg(F.count("*").alias("n")).collect()}
+    most = max(audited, math.isqrt(sum(sizes.values())))
+    picked = [placed.where(F.col("known") == x).orderBy(F.xxhash64("node", F.lit(3)), "node").limit(most) for x in (True, False)]
+    sample = picked[0].unionAll(picked[1]).select("node", "label", "comp", "unit", "known").collect()
+    known = {r["node"]: r["known"] for r in sample}
+    sample = [r[:4] for r in sample]
     shared = nodes.sparkSession.sparkContext.broadcast([tuple(r) for r in sample])
 
     def run(batches):
@@ -255,8 +285,7 @@ def _audit(nodes: DataFrame, comps: DataFrame, threshold: float, audited: int) -
         for batch in batches:
             labels, ids, comp = np.asarray(batch["label"].to_pylist(), object), np.asarray(batch["node"]), np.asarray(batch["comp"])
             units = batch["unit"].to_pylist()
-            links = inside = 0
-            by: dict = {}
+            out, by = [], {}
             for node, label, c, unit in sample:
                 if (label, len(unit)) not in by:
                     at = np.asarray([i for i in np.flatnonzero(labels == label) if len(units[i]) == len(unit)], int)
@@ -266,12 +295,18 @@ def _audit(nodes: DataFrame, comps: DataFrame, threshold: float, audited: int) -
                     continue
                 hit = at[x @ np.frombuffer(unit, "<f8") >= threshold]
                 hit = hit[ids[hit] != node]
-                links += len(hit)
-                inside += int((comp[hit] == c).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([links], pa.int64()), pa.array([inside], pa.int64())], names=["links", "inside"])
+                if len(hit):
+                    out.append((node, len(hit), int((comp[hit] == c).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["of", "links", "inside"])
 
-    got = placed.select("node", "label", "comp", "unit").mapInArrow(run, "links long, inside long").agg(F.sum("links"), F.sum("inside")).first()
-    return got[1] / got[0] if got[0] else 1.0
+    met = placed.select("node", "label", "comp", "unit").mapInArrow(run, "of long, links long, inside long").groupBy("of").agg((F.sum("inside") / F.sum("links")).alias("share")).collect()
+    linked = found = 0.0
+    for side, n in sizes.items():
+        shares = [r["share"] for r in met if known[r["of"]] == side]
+        weight = n / min(n, most)
+        linked += weight * len(shares)
+        found += weight * sum(shares)
+    return found / linked if linked else 1.0
 
 
 def _counts(nodes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
@@ -300,15 +335,18 @@ def _counts(nodes: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
     return sent.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("linked"))
 
 
-def embedding_near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, k: int = K, most: int = MOST, cell: int = CELL, projections: int = PROJECTIONS, rounds: int = ROUNDS, recall: float = RECALL, audited: int = AUDITED, tries: int = 3) -> DataFrame:
+def embedding_near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, k: int = K, most: int = MOST, cell: int = CELL, projections: int = PROJECTIONS, rounds: int | None = None, recall: float = RECALL, audited: int = AUDITED, tries: int = 3) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     nodes = vector_nodes(vectors)
-    graph, lists, comps, first = None, None, None, 0
+    graph, lists, comps, crowded, first = None, None, None, None, 0
+    largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    projections = max(projections, projections_for(largest, cell, threshold))
     for _ in range(tries):
-        begun = _projected(nodes, first, projections, cell, k).withColumn("fresh", F.lit(True))
+        begun, dense = _projected(nodes, first, projections, cell, k)
+        begun, crowded = begun.withColumn("fresh", F.lit(True)), dense if crowded is None else crowded.unionAll(dense)
         first += projections
         graph = staged(_kept(begun if graph is None else begun.unionByName(graph.select("a", "b", "s", "fresh")), lists, k), "graph")
-        for _ in range(rounds):
+        for _ in itertools.count() if rounds is None else range(rounds):
             full = graph.where((F.col("rank") == F.col("k")) & (F.col("s") >= threshold) & (F.col("k") < most)).select("a", F.least(F.col("k") * 2, F.lit(most)).alias("k"))
             held = graph.select("a", "k").distinct().join(full.select("a"), "a", "left_anti").unionAll(full)
             lists = staged(held.where(F.col("k") > k), "lists")
@@ -317,7 +355,7 @@ def embedding_near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOL
             if graph.where(F.col("fresh") & (F.col("s") >= threshold - 0.02)).isEmpty():
                 break
         links = staged(_confirmed(graph, nodes, threshold), "links")
-        dense = staged(graph.where((F.col("rank") == F.col("k")) & (F.col("s") >= threshold - 1e-4)).select(F.col("a").alias("node")), "dense")
+        dense = staged(graph.where((F.col("rank") == F.col("k")) & (F.col("s") >= threshold - 1e-4)).select(F.col("a").alias("node")).unionAll(crowded), "dense")
         if not dense.isEmpty():  # their lists may leave out links
             links = links.unionAll(staged(_exact(nodes, dense, threshold), "exact"))
         comps = components(links)

@@ -435,6 +435,34 @@ def test_a_failed_audit_ends_in_an_exact_join(spark):
     assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in out.collect()) == brute_links(rows)
 
 
+def test_audit_counts_nodes_and_not_links(spark):
+    """One large found group must not outvote lost pairs; a label of lost pairs alone is no full recall."""
+    rng = np.random.default_rng(6)
+    group = rng.standard_normal(16) + 0.01 * rng.standard_normal((200, 16))
+    pairs = [c + 0.01 * rng.standard_normal(16) for c in rng.standard_normal((20, 16)) for _ in range(2)]
+    rows = [(i, [float(f) for f in v.astype("f4")], 1) for i, v in enumerate([*group, *pairs])]
+    nodes = embeddings.vector_nodes(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    ids = [r["node"] for r in nodes.where("least < 200").collect()]
+    comps = spark.createDataFrame([(i, min(ids)) for i in ids], "id long, component_id long")
+    assert math.isclose(embeddings._audit(nodes, comps, 0.98, 256), 200 / 240)
+    assert embeddings._audit(nodes.where("least >= 200"), comps.limit(0), 0.98, 256) == 0
+
+
+def test_crowded_cells_lose_no_pair(spark):
+    """A narrow cone of isolated pairs: what no hyperplane parts is compared with all."""
+    rng = np.random.default_rng(7)
+    centre = 4 * _unit(rng.standard_normal(24))
+    at = [centre + _unit(rng.standard_normal(24)) for _ in range(300)]
+    rows = [(i, [float(f) for f in (at[i // 2] + 0.02 * rng.standard_normal(24)).astype("f4")], 1) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    nodes = embeddings.vector_nodes(df)
+    edges, dense = embeddings._projected(nodes, 0, 1, 8, 4)
+    assert dense.count() > 0
+    out = embeddings.embedding_near_duplicates(df, threshold=0.995, cell=8, k=4)
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in out.collect()) == brute_links(rows, 0.995)
+    assert embeddings.projections_for(10_000_000, 256, 0.98) > embeddings.projections_for(5_000, 256, 0.98) > 6
+
+
 # op8
 
 
