@@ -12,7 +12,8 @@ systems, so the folder may lie wherever these reach; a local folder is memory-ma
 
 ASCII white space always separates tokens of this tokenizer, so texts are cut there and each distinct piece is
 encoded once as long as a worker remembers it; pieces are cut into words where the tokenizer cuts them, so that
-punctuation and case make no new words. The ids are the tokenizer's own.
+punctuation and case make no new words; a piece with the text of an added token goes to the tokenizer whole. Texts of
+a tokenizer file with another normalizer or pre-tokenizer are not cut at all. The ids are the tokenizer's own.
 
 Defined results: null and empty texts have the end id alone; repeated rows are written each on its own; other
 columns are ignored; an empty table gives an empty folder and no rows.
@@ -58,6 +59,18 @@ _PLAIN = re.compile(r"[\x21-\x7eÀ-ÿ]+")
 #: Where the tokenizer itself cuts such a piece (fixed pattern of its vocabulary file).
 _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
 
+#: The normalizer and pre-tokenizer for which texts may be cut so.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def _cuts(file: dict) -> bool:
+    """Whether white space and _CUT separate the tokens of this tokenizer file, added tokens aside."""
+    plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"])) for t in file["added_tokens"])
+    known = file["normalizer"] == _NORMALIZER and file["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+    return plain and known and not file.get("truncation") and not file.get("padding")
+
 
 class _Memory:
     """Encoded pieces; when full, the older half is forgotten."""
@@ -87,6 +100,10 @@ class PieceEncoder:
     def __init__(self, path: str, dtype: str, remembered: int = REMEMBERED):
         self.tokenizer, self.dtype = _tokenizer(path), dtype
         self.pieces, self.words = _Memory(remembered), _Memory(remembered)
+        file = json.loads(self.tokenizer.to_str())
+        self.cuts = _cuts(file)
+        added = [re.escape(t["content"]) for t in file["added_tokens"]]
+        self.added = re.compile("|".join(added)) if added else None
 
     def _encode(self, items: list[str], into: dict) -> None:
         """Each item on its own, many in one call."""
@@ -101,7 +118,7 @@ class PieceEncoder:
 
     def _learn(self, distinct: list[str]) -> dict:
         fresh = self.pieces.missing(distinct)
-        parts = {p: _CUT.findall(p.lower()) for p in fresh if _PLAIN.fullmatch(p)}
+        parts = {p: _CUT.findall(p.lower()) for p in fresh if _PLAIN.fullmatch(p) and not (self.added and self.added.search(p))}
         self._encode(self.words.missing(set().union(*parts.values())), self.words.new)
         known, words = self.pieces.new, self.words.new
         for p, cut in parts.items():
@@ -112,6 +129,9 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in turn, and how many each has. The array must not be a slice."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.cuts:
+            ids = [np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype) for t in texts.to_pylist()]
+            return np.concatenate([np.empty(0, self.dtype), *ids]), np.asarray([len(x) for x in ids], np.int64)
         lists = pc.ascii_split_whitespace(texts)
         bounds = np.asarray(lists.offsets).astype(np.int64)
         coded = lists.values.dictionary_encode()

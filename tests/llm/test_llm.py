@@ -337,6 +337,25 @@ def test_pieces_encode_as_whole_texts():
         at += k
 
 
+def test_added_tokens_and_other_tokenizer_files(tmp_path):
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = ["abc<|endoftext|>def it's", "<|startoftext|>", "<|ENDOFTEXT|> a<|endoftext|", "x<|endoftext|><|startoftext|>é 12"]
+    file = json.loads(Path(vocabulary()).read_text())
+    file["normalizer"] = {"type": "NFC"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(file))
+    for path in (vocabulary(), str(other)):
+        t, encoder = Tokenizer.from_file(path), tokens.PieceEncoder(path, "<u2")
+        ids, n = encoder.encode(pa.array([*texts, "It's ABC Déf 12", None]))
+        want = [t.encode(x, add_special_tokens=False).ids for x in [*texts, "It's ABC Déf 12", ""]]
+        assert list(ids) == sum(want, []) and list(n) == [len(x) for x in want]
+    assert tokens.PieceEncoder(vocabulary(), "<u2").cuts and not encoder.cuts
+
+
 # op6
 
 
