@@ -308,6 +308,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: tuple[
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), rows: int = ROWS, miss: float = MISS, slack: float = SLACK) -> DataFrame:
     """One row per document: doc_id, _h (hash of its text), n_shingles, component_id (smallest doc_id linked), kept."""
+    return _classes(docs, width=width, threshold=threshold, rows=rows, miss=miss, slack=slack).drop("class")
+
+
+def _classes(docs: DataFrame, *, width: int, threshold: tuple[int, int], rows: int = ROWS, miss: float = MISS, slack: float = SLACK) -> DataFrame:
+    """Rows of near_duplicates with ``class``, one for all rows that are linked; null for a row without words."""
     t = threshold[0] / threshold[1]
     sketched = staged(_sketched(docs, width, rows * bands_for(t, rows, miss)), "sketches")
     nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "_h")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -357,21 +362,27 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, in
     if comps is not None:
         ids = attach(ids, comps.withColumnRenamed("id", "node"), ["node"]).withColumn("comp", F.coalesce("component_id", "node")).drop("component_id")
         least = ids.groupBy("comp").agg(F.min("least").alias("component_id"))
-        ids = ids.join(least, "comp").select("node", "component_id")
+        ids = ids.join(least, "comp").select("node", "component_id", F.col("comp").alias("class"))
     else:
-        ids = ids.withColumnRenamed("least", "component_id")
+        ids = ids.select("node", F.col("least").alias("component_id"), F.col("node").alias("class"))
     out = attach(sketched.select("doc_id", "_h", "node", F.col("n").alias("n_shingles")), ids, ["node"])
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "_h", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "_h", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class")
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, all columns kept: that with the smallest doc_id, once."""
-    judged = staged(near_duplicates(docs, **options).where("kept").groupBy("doc_id", "_h").agg(F.count("*").alias("times")), "kept")
-    out = filtered(docs, judged.select("doc_id", "_h"), "left_semi")
-    if judged.groupBy("doc_id").agg(F.sum("times").alias("n")).where("n > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id"])
+    """One document of each group, all columns kept: that with the smallest doc_id (ties by the hash of the text), once.
+
+    A group is what is linked, whatever its ids: unlinked texts stay, and rows without words, each on its own.
+    """
+    options = {"width": 5, "threshold": (80, 100)} | options
+    judged = staged(_classes(docs, **options).where("kept").groupBy("class", "doc_id", "_h").agg(F.count("*").alias("times")), "kept")
+    alone = judged.where("class IS NULL").select("doc_id", "_h")
+    linked = judged.where("class IS NOT NULL").groupBy("class").agg(F.min_by(F.struct("doc_id", "_h", "times"), "_h").alias("one")).select("one.*")
+    if linked.where("times > 1").isEmpty():
+        return filtered(docs, linked.select("doc_id", "_h").unionAll(alone), "left_semi")
+    once = filtered(docs, linked.select("doc_id", "_h"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionAll(filtered(docs, alone, "left_semi"))
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -251,6 +251,19 @@ def test_near_duplicates_odd_rows(spark):
     assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect())[6] == 1
 
 
+def test_unlinked_texts_stay_whatever_their_ids(spark):
+    """Repeated and null ids with unrelated texts are classes of their own; linked rows and repeated rows stay once."""
+    rng = random.Random(11)
+    text = lambda: " ".join(rng.choices([f"u{i}" for i in range(3000)], k=40))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(1, a), (1, b), (None, c), (None, d), (2, e), (3, e), (4, f), (4, f), (None, None), (None, ""), (5, ""), (1, a + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for some, twice in ((docs, 1), (docs.where("doc_id <> 4 OR doc_id IS NULL"), 0)):
+        got = Counter(tuple(r) for r in near_duplicates.without_near_duplicates(some).collect())
+        first = [x for x in (a, a + " more") if (1, x) in got]
+        assert len(first) == 1 and got == Counter([(1, first[0]), (1, b), (None, c), (None, d), (2, e), (None, None), (None, ""), (5, ""), *[(4, f)] * twice])
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(1)
     a, b = near_duplicates._functions(400)
