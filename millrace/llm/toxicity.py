@@ -11,6 +11,8 @@ models divided by its number of words; a logistic curve, fitted on labelled text
 into a score.
 
 Labels are read from a bounded sample: up to ``per_class`` labelled documents of each class, by a hash of their id.
+The labels of each class are counted in full, and the curve weighs the sample by them, so the score means the same at
+every size.
 The kept expressions, at most ``most`` words and ``most`` pairs of greatest difference, are what workers hold.
 
 Rows whose crc32(doc_id as text) mod 5 is 0 are never learnt from; remainder 4 fits the curve, the rest the counts.
@@ -83,10 +85,15 @@ def stretched(evidence: np.ndarray) -> np.ndarray:
     return np.sign(evidence) * np.log1p(np.abs(evidence) * SCALE)
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    """One row per labelled document that may be learnt from: doc_id, toxic (0 or 1)."""
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    return known.where(remainder(F.col("doc_id")) != 0)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     """The bounded sample of rows to learn from: toxic (0 or 1), fold (1 to 4), text; each distinct text once."""
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(remainder(F.col("doc_id")) != 0).withColumn("place", F.xxhash64("doc_id"))
+    known = learnable(labels).withColumn("place", F.xxhash64("doc_id"))
     picked = [known.where(F.col("toxic") == c).orderBy("place", "doc_id").limit(per_class) for c in (0, 1)]
     picked = picked[0].unionAll(picked[1]).select(F.col("doc_id").alias("_id"), "toxic")  # at most 2 * per_class rows
     rows = docs.select("doc_id", text_or_empty(F.col("text")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
@@ -153,18 +160,19 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, mos
     held = evidence(sample.where("fold = 4").select(F.col("toxic").alias("doc_id"), "text"), model).select("doc_id", "evidence").collect()  # at most 2 * per_class rows
     if not held:
         held = evidence(sample.select(F.col("toxic").alias("doc_id"), "text"), model).select("doc_id", "evidence").collect()
-    model.slope, model.offset = fit_curve(np.asarray([r["evidence"] for r in held]), np.asarray([float(r["doc_id"]) for r in held]))
+    weight = {r["toxic"]: max(1.0, r["n"] / per_class) for r in learnable(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    model.slope, model.offset = fit_curve(np.asarray([r["evidence"] for r in held]), np.asarray([float(r["doc_id"]) for r in held]), np.asarray([weight[r["doc_id"]] for r in held]))
     return model
 
 
-def fit_curve(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
-    """Slope and offset of a logistic curve over the stretched evidence (Newton's method)."""
+def fit_curve(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray | float = 1.0, ridge: float = 0.01) -> tuple[float, float]:
+    """Slope and offset of a logistic curve over the stretched evidence, each row ``weight`` times (Newton's method)."""
     x = np.stack([stretched(evidence), np.ones(len(evidence))], axis=1)
     beta = np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (toxic - p) - ridge * beta
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
+        gradient = x.T @ (weight * (toxic - p)) - ridge * beta
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:

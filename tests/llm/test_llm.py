@@ -162,6 +162,16 @@ def test_toxicity_on_held_out_labels(spark):
     assert len(wrong) <= 0.03 * sum(r["held_out"] for r in rows.values())
 
 
+def test_a_cut_sample_keeps_the_rate_of_the_classes(spark):
+    """Labels that no word explains, 8 ordinary to 1 toxic: the score is that rate however small the sample is."""
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, f"a{i} b{i} " + " ".join(rng.choices([f"w{k}" for k in range(50)], k=10))) for i in range(1800)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 9 == 0).cast("int").alias("toxic"))
+    for per_class in (100, 20_000):
+        rate = toxicity.train(docs, labels, per_class=per_class).score(np.zeros(1))[0]
+        assert abs(rate - 1 / 9) < 0.06
+
+
 def _toxic_corpus():
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(300)]
