@@ -18,13 +18,16 @@ CHUNK = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _own: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or where that is unset a folder of our own, on a local master alone."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -42,19 +45,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # what the write shuffled is not read again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete a table made by staged() that no later plan reads."""
-    path = getattr(df, "_staged_path", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def unstage(*tables: DataFrame | None) -> None:
+    """Delete tables made by staged() that no later plan reads; None and other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "_staged_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Text that a Python step takes at a time, in bytes.

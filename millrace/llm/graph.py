@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import attach, staged
+from millrace.llm.common import attach, staged, unstage
 
 MAX_ROUNDS = 60
 #: Links that a task holds at a time.
@@ -75,10 +75,11 @@ def components(links: DataFrame) -> DataFrame:
     links never meet in one task: it has as many rows as there are tasks. Ids without a link do not appear.
     """
     now = links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    rounds = []
+    rounds, outs = [], []
     for _ in range(MAX_ROUNDS):
         forest = now.mapInArrow(_forest, "x long, r long").repartition("x").sortWithinPartitions("x", "r")
         out = staged(forest.mapInArrow(_joined, "kind int, a long, b long"), "joined")
+        outs.append(out)
         rounds.append(out.where("kind = 0").select("a", "b"))
         now = out.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if now.isEmpty():
@@ -88,4 +89,6 @@ def components(links: DataFrame) -> DataFrame:
     found = rounds[0].select(F.col("a").alias("id"), F.col("b").alias("root"))
     for later in rounds[1:]:
         found = attach(found, later.select(F.col("a").alias("root"), "b"), ["root"]).select("id", F.coalesce("b", "root").alias("root"))
-    return staged(found.select("id", F.col("root").alias("component_id")), "components")
+    found = staged(found.select("id", F.col("root").alias("component_id")), "components")
+    unstage(*outs)
+    return found

@@ -10,9 +10,10 @@ the threshold is confirmed on the full sets.
 
 Documents with equal sets are one node from the start (a 64-bit hash of the sorted set; at 1e9 different sets two
 share a hash with a chance of 3%). Within a bucket no pairs are made: members are compared with a hub, the one that
-meets most others over all buckets, then only members outside the bucket's largest component take turns as hubs (64, then
-1000 of them a round), block against block, until all others were hubs or joined it. So every pair of a bucket is
-either linked through others or was compared.
+meets most others over all buckets; then only members outside the bucket's largest component take turns as hubs (64, then
+sixteen times as many each round), block against block, until all others were hubs or joined it. So every pair of a bucket is
+either linked through others or was compared. Crowded buckets are dealt into salts before any join or window; what is
+chosen for a bucket is copied to its salts.
 
 Defined results: null text, or one without words, has an empty set and is linked with nothing (component: itself);
 fewer words than a shingle are one shingle; repeated rows are linked; columns other than doc_id and text are ignored
@@ -21,9 +22,7 @@ by ``near_duplicates`` and kept by ``without_near_duplicates``; an empty table g
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import attach, filtered, groups, slices, staged
+from millrace.llm.common import attach, filtered, groups, slices, staged, unstage
 from millrace.llm.graph import components
 
 BASE, RATE, TOP = 1.001, 20.0, 65534
@@ -44,6 +43,8 @@ HUB_SHARE = 256
 HUBS, MEMBERS = 128, 512
 #: Registers of the fine sketches that are compared there.
 FINE = 1024
+#: Members of a bucket that may meet in one task, and the most buckets that may be larger than what a task then takes.
+CROWDED, MOST_CROWDED = 1024, 500_000
 _U = np.uint64
 
 
@@ -104,19 +105,6 @@ def sketch(elements: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(h) / math.log(BASE)), 0, TOP + 1).astype("<u2")
 
 
-def fine_sketch(elements: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
-    """The low four bits of many registers, two a byte: enough to tell equal ones, at a sixteenth of chance."""
-    low = (sketch(elements, a, b) & 15).astype(np.uint8)
-    return (low[0::2] | low[1::2] << 4).tobytes()
-
-
-def fine_estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Similarities of pairs of fine sketches (rows of bytes): the share of equal registers less what chance gives."""
-    differ = x ^ y
-    equal = ((differ & 15) == 0).sum(axis=1) + ((differ >> 4) == 0).sum(axis=1)
-    return (equal / (2 * x.shape[1]) - 1 / 16) / (1 - 1 / 16)
-
-
 def merge(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Registers of the union."""
     return np.maximum(one, other)
@@ -140,7 +128,7 @@ def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, point
 
 
 def reaches(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, cut: float, near: float) -> np.ndarray:
-    """Whether the similarity of greatest likelihood of each pair is ``cut`` or more.
+    """Whether the similarity of greatest likelihood of each pair is ``cut`` or more; y has a row for each of x, or one for all.
 
     The likelihood has one peak, so its slope at the cut tells on which side the peak lies. Pairs with too few equal
     registers to come within ``near`` of the cut are not looked at further.
@@ -150,7 +138,7 @@ def reaches(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, cut: f
     at = np.flatnonzero(out)
     if not len(at):
         return out
-    more = (x[at] > y[at]).sum(axis=1)
+    more = (x[at] > (y if len(y) == 1 else y[at])).sum(axis=1)
     same, less = equal[at], x.shape[1] - more - equal[at]
     u, v = nx[at] / (nx[at] + ny[at]), ny[at] / (nx[at] + ny[at])
     p = lambda z: -np.log1p(-np.clip(z, 0, 1) * (BASE - 1) / BASE) / math.log(BASE)
@@ -208,6 +196,31 @@ def _bands(nodes: DataFrame, rows: int) -> DataFrame:
     return nodes.mapInArrow(run, "band long, node long, n long")
 
 
+def _buckets(bands: DataFrame) -> DataFrame:
+    """Rows of bands that several nodes share: band, salt, salts, node, n, central (how many others a node meets in all).
+
+    A bucket of more than ``limit`` members is dealt into salts of at most about that many. All buckets together have ``total``
+    members, so at most total / limit, hence MOST_CROWDED, are crowded: that list is what is broadcast.
+    """
+    sizes = staged(bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "bucket-sizes")
+    total = sizes.agg(F.sum("members")).first()[0] or 0
+    limit = max(CROWDED, -(-total // MOST_CROWDED))
+    crowded = sizes.where(F.col("members") > limit).select("band", F.ceil(F.col("members") / limit).cast("long").alias("salts"))
+    dealt = bands.join(F.broadcast(crowded), "band", "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(17)), F.col("salts")))
+    met = _salted(sizes.withColumn("salts", F.ceil(F.when(F.col("members") > limit, F.col("members") / limit).otherwise(F.lit(1.0))).cast("long")))
+    shared = staged(dealt.join(met.select("band", "salt", "members"), ["band", "salt"]), "met")
+    central = shared.groupBy("node").agg(F.sum("members").alias("central"))
+    out = staged(shared.drop("members").join(central, "node").select("band", "salt", "salts", "node", "n", "central"), "buckets")
+    unstage(shared, sizes)
+    return out
+
+
+def _salted(per_band: DataFrame) -> DataFrame:
+    """A row per band (with salts) to one for each salt of it."""
+    return per_band.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+
+
 def _cut(threshold: float, slack: float, m: int) -> float:
     """Estimates from here on are confirmed: ``slack`` standard errors below the threshold."""
     return threshold - slack * math.sqrt(threshold * (1 - threshold) / m)
@@ -235,7 +248,7 @@ def _fine(texts: DataFrame, width: int) -> DataFrame:
         a, b = _functions(FINE)
         for whole in batches:
             for batch in slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([batch["node"], pa.array([fine_sketch(s, a, b) for s in shingle_sets(batch["text"], width)], pa.binary())], names=["node", "fine"])
+                yield pa.RecordBatch.from_arrays([batch["node"], pa.array([sketch(s, a, b).tobytes() for s in shingle_sets(batch["text"], width)], pa.binary())], names=["node", "fine"])
 
     return texts.mapInArrow(run, "node long, fine binary")
 
@@ -244,29 +257,31 @@ def _likely_in_blocks(now: DataFrame, chosen: DataFrame, fine: DataFrame, thresh
     """The same for buckets with many hubs: blocks of hubs meet blocks of members in one task each, and only likely pairs of
     different components are written down, once. They are judged by fine sketches, as a group of copies that lie just below the
     threshold has many pairs that coarse ones cannot rule out."""
-    hubs = chosen.withColumn("hub_block", F.floor((F.col("place") - 1) / HUBS))
-    sizes = now.join(hubs.groupBy("band").agg((F.max("hub_block") + 1).alias("hub_blocks")), "band").groupBy("band").agg(F.first("hub_blocks").alias("hub_blocks"), F.ceil(F.count("*") / MEMBERS).alias("shares"))
+    hubs = chosen.withColumn("hub_block", F.floor(F.col("place") / HUBS).cast("long"))
+    heads = hubs.groupBy("band").agg((F.max("hub_block") + 1).alias("hub_blocks"))
+    sizes = now.groupBy("band").agg(F.ceil(F.count("*") / MEMBERS).alias("shares"), F.first("salts").alias("salts")).join(heads, "band")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    members = now.join(sizes, "band").select("band", upto("hub_blocks").alias("hub_block"), F.pmod(F.xxhash64("node"), F.col("shares")).alias("share"), F.lit(1).alias("role"), "node", "n", "comp")
-    heads = hubs.join(sizes, "band").select("band", F.col("hub_block").cast("long").alias("hub_block"), upto("shares").alias("share"), F.lit(0).alias("role"), F.col("hub").alias("node"), F.col("hub_n").alias("n"), F.col("hub_comp").alias("comp"))
+    members = now.join(_salted(sizes), ["band", "salt"]).select("band", upto("hub_blocks").alias("hub_block"), F.pmod(F.xxhash64("node"), F.col("shares")).alias("share"), F.lit(1).alias("role"), "node", "n", "comp")
+    heads = hubs.join(sizes.select("band", "shares"), "band").select("band", "hub_block", upto("shares").alias("share"), F.lit(0).alias("role"), F.col("hub").alias("node"), F.col("hub_n").alias("n"), F.col("hub_comp").alias("comp"))
     order = ["band", "hub_block", "share"]
     laid = members.unionByName(heads).join(fine, "node").repartition(*order).sortWithinPartitions(*order, "role")
     t, (over, under) = threshold[0] / threshold[1], threshold
-    chance = t + (1 - t) / 16
-    cut = t - slack * math.sqrt(chance * (1 - chance) / FINE) / (1 - 1 / 16)
+    cut = _cut(t, slack, FINE)
 
     def run(batches):
         for group in groups(batches, order):
             role = np.asarray(group["role"])
             ids, n, comp = (np.asarray(group[c]) for c in ("node", "n", "comp"))
-            x = np.frombuffer(b"".join(group["fine"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            x = np.frombuffer(b"".join(group["fine"].to_pylist()), "<u2").reshape(len(ids), -1)
             keys = _band_keys(np.frombuffer(b"".join(group["sketch"].to_pylist()), "<u2").reshape(len(ids), -1), rows)
             here = group["band"][0].as_py()
             rest = np.flatnonzero(role == 1)
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for h in np.flatnonzero(role == 0):
                 fit = rest[(comp[rest] != comp[h]) & (np.minimum(n[rest], n[h]) * under >= np.maximum(n[rest], n[h]) * over)]
-                ok = fit[fine_estimate(x[fit], x[h][None]) >= cut]
+                if not len(fit):
+                    continue
+                ok = fit[reaches(x[fit], x[h][None], n[fit].astype(float), np.full(len(fit), float(n[h])), cut, t - cut)]
                 if len(ok):  # a pair that shares several buckets is written down in the first of them
                     ok = ok[keys[h][(keys[ok] == keys[h]).argmax(axis=1)] == here]
                 a.append(ids[ok])
@@ -316,55 +331,56 @@ def _classes(docs: DataFrame, *, width: int, threshold: tuple[int, int], rows: i
     t = threshold[0] / threshold[1]
     sketched = staged(_sketched(docs, width, rows * bands_for(t, rows, miss)), "sketches")
     nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "_h")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    bands = staged(_bands(nodes.select("node", "n", "sketch"), rows), "bands")
-    shared = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    bands = staged(bands.join(shared, "band"), "buckets")
-    bands = bands.drop("members").join(bands.groupBy("node").agg(F.sum("members").alias("central")), "node")  # how many others a node meets in all
-    bands = staged(bands.select("band", "node", "n", "central"), "buckets")
-    wanted = bands.select("node").distinct()
-    nodes = staged(nodes.join(wanted, "node"), "nodes")
+    nodes = staged(nodes, "nodes")
+    buckets = _buckets(_bands(nodes.select("node", "n", "sketch"), rows))
+    wanted = buckets.select("node").distinct()
+    every, nodes = nodes, staged(nodes.join(wanted, "node"), "nodes")
+    unstage(every)
     reps = nodes.select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep._h").alias("_h"))
     source = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.col("text").cast("string").alias("text"))
     texts = staged(attach(source, reps, ["doc_id", "_h"], "inner").dropDuplicates(["node"]).select("node", "text"), "texts")
 
-    links, comps, hubs, fine = None, None, None, None
-    for most in itertools.chain([1, 64], itertools.repeat(1000)):
-        now = bands if comps is None else attach(bands, comps.withColumnRenamed("id", "node"), ["node"])
-        now = now.withColumn("comp", F.col("node") if comps is None else F.coalesce("component_id", "node")).select("band", "node", "n", "central", "comp")
-        if hubs is None:
-            chosen = now.groupBy("band").agg(F.max(F.struct("central", "node", "n", "comp")).alias("h")).select("band", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp"))
-        else:
-            sizes = now.groupBy("band", "comp").agg(F.count("*").alias("k"))
-            largest = sizes.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("band", F.col("top.comp").alias("main"))
-            now = staged(now.join(largest, "band"), "open")
-            rest = now.where("comp <> main").join(hubs, ["band", "node"], "left_anti")
-            place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("central"), "node"))
-            chosen = rest.withColumn("place", place).where(F.col("place") <= most).select("band", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), "place")
-        chosen = staged(chosen, "hubs")
-        if chosen.isEmpty():
-            break
-        if hubs is None:
+    links, comps, hubs, fine, most = None, None, None, None, 1
+    while True:
+        if comps is None:
+            best = F.max(F.struct("central", "node", "n")).alias("h")
+            chosen = buckets.groupBy("band").agg(best, F.first("salts").alias("salts")).select("band", "salts", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+            chosen = staged(chosen, "hubs")
             fits = F.least("n", "hub_n") * threshold[1] >= F.greatest("n", "hub_n") * threshold[0]
-            pairs = now.join(chosen, "band").where((F.col("comp") != F.col("hub_comp")) & fits).select("node", "hub").distinct()
-            likely = _likely(pairs, nodes, t, slack)
+            pairs = buckets.join(_salted(chosen), ["band", "salt"]).where((F.col("node") != F.col("hub")) & fits).select("node", "hub").distinct()
+            likely = staged(_likely(pairs, nodes, t, slack), "likely")
         else:
+            now = attach(buckets, comps.withColumnRenamed("id", "node"), ["node"]).withColumn("comp", F.coalesce("component_id", "node")).drop("component_id")
+            now = staged(now, "placed")
+            parts = now.groupBy("band", "comp").agg(F.count("*").alias("k"), F.first("salts").alias("salts"))
+            largest = parts.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"), F.first("salts").alias("salts")).where("comps > 1").select("band", "salts", F.col("top.comp").alias("main"))
+            opened = staged(now.join(_salted(largest), ["band", "salt"]), "open")
+            unstage(now)
+            rest = opened.where("comp <> main").join(hubs.select("band", F.col("hub").alias("node")), ["band", "node"], "left_anti")
+            place = F.row_number().over(Window.partitionBy("band", "salt").orderBy(F.desc("central"), "node"))
+            chosen = rest.withColumn("place", place).where(F.col("place") <= most).select("band", "salts", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), ((F.col("place") - 1) * F.col("salts") + F.col("salt")).alias("place"))
+            chosen = staged(chosen, "hubs")
+            if chosen.isEmpty():
+                unstage(opened, chosen)
+                break
             if fine is None:  # nodes of open buckets only become fewer
-                open_texts = texts.join(now.select("node").distinct(), "node", "left_semi")
+                open_texts = texts.join(opened.select("node").distinct(), "node", "left_semi")
                 fine = staged(_fine(open_texts, width).join(nodes.select("node", "sketch"), "node"), "fine")
-            likely = _likely_in_blocks(now.drop("main"), chosen, fine, threshold, slack, rows)
-        met = staged(_confirmed(staged(likely, "likely"), texts, width, threshold), "met")
-        seen = chosen.select("band", F.col("hub").alias("node"))
-        hubs = seen if hubs is None else hubs.unionAll(seen)
+            likely = staged(_likely_in_blocks(opened.drop("main"), chosen, fine, threshold, slack, rows), "likely")
+            unstage(opened)
+        met = staged(_confirmed(likely, texts, width, threshold), "met")
+        unstage(likely)
+        hubs = chosen.select("band", "hub") if hubs is None else hubs.unionAll(chosen.select("band", "hub"))
+        most = 64 if most == 1 else most * 16
         if comps is None or not met.isEmpty():
             links = met if links is None else links.unionAll(met)
+            unstage(comps)
             comps = components(links)
+    unstage(buckets, texts, nodes, fine)
     ids = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    if comps is not None:
-        ids = attach(ids, comps.withColumnRenamed("id", "node"), ["node"]).withColumn("comp", F.coalesce("component_id", "node")).drop("component_id")
-        least = ids.groupBy("comp").agg(F.min("least").alias("component_id"))
-        ids = ids.join(least, "comp").select("node", "component_id", F.col("comp").alias("class"))
-    else:
-        ids = ids.select("node", F.col("least").alias("component_id"), F.col("node").alias("class"))
+    ids = attach(ids, comps.withColumnRenamed("id", "node"), ["node"]).withColumn("comp", F.coalesce("component_id", "node")).drop("component_id")
+    least = ids.groupBy("comp").agg(F.min("least").alias("component_id"))
+    ids = ids.join(least, "comp").select("node", "component_id", F.col("comp").alias("class"))
     out = attach(sketched.select("doc_id", "_h", "node", F.col("n").alias("n_shingles")), ids, ["node"])
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "_h", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class")

@@ -677,15 +677,22 @@ def test_pipeline(spark):
     assert sorted(r["start"] for r in got) == [w[1] for w in want]
 
 
-def test_fine_sketches_estimate():
+def test_likelihood_of_a_similarity_above_the_cut():
     rng = np.random.default_rng(2)
     a, b = near_duplicates._functions(near_duplicates.FINE)
-    pool = rng.integers(0, 1 << 64, 3000, np.uint64)
-    for shared in (0, 900, 1500, 1900):
-        x, y = pool[:2000], pool[2000 - shared : 4000 - shared][:2000]
-        fx, fy = (np.frombuffer(near_duplicates.fine_sketch(np.unique(s), a, b), np.uint8)[None] for s in (x, y))
+    pool = rng.integers(0, 1 << 64, 4000, np.uint64)
+    n = np.array([2000.0])
+    for shared in (900, 1500, 1750, 1950):
+        x, y = pool[:2000], pool[2000 - shared : 4000 - shared]
         j = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
-        assert abs(near_duplicates.fine_estimate(fx, fy)[0] - j) < 0.06
+        sx, sy = (near_duplicates.sketch(np.unique(s), a, b)[None] for s in (x, y))
+        assert near_duplicates.reaches(sx, sy, n, n, j - 0.08, 0.1)[0] and not near_duplicates.reaches(sx, sy, n, n, min(j + 0.08, 0.999), 0.1)[0]
+
+
+def test_crowded_buckets_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "CROWDED", 8)
+    test_near_duplicates(spark, 4, 3, (85, 100))
+    test_copies_just_below_the_threshold_stay_apart(spark)
 
 
 def test_copies_just_below_the_threshold_stay_apart(spark):
