@@ -1,25 +1,29 @@
 """Toxicity by two class-conditional Kneser-Ney models, of toxic and of ordinary texts.
 
-Words, word stems (first ``STEM`` letters) and word pairs are counted by class over labelled texts: the texts that have an
-expression, but no more than the different words before it, as Kneser-Ney counts contexts, so copies of a text do not
-make its words count. Both models are interpolated Kneser-Ney: a discounted pair estimate backs off to the class's
-discounted word estimate, that to the stem's for words that are not known, and that to one continuation distribution
-that both classes share, so what is rare is smoothed alike in both. Expressions whose classes do not differ beyond
-chance (log-likelihood ratio test below ``least_g``), or by less than ``least_ratio`` (texts of one class may merely be
-longer), are pruned to their back-off; at the last, both models agree. A text's evidence is the difference of its log-likelihoods under the two
-models divided by its number of words; a logistic curve, fitted on labelled texts that no count has seen, turns it
-into a score.
-
-Labels are read from a bounded sample: up to ``per_class`` labelled documents of each class, by a hash of their id.
-The labels of each class are counted in full, and the curve weighs the sample by them, so the score means the same at
-every size.
-The kept expressions, at most ``most`` words and ``most`` pairs of greatest difference, are what workers hold.
+Words and word pairs are counted by class over all labelled texts, each different text once. A pair backs off to its
+word and a word to the rate that both classes share. Counts are of different contexts, not of occurrences: the texts of a
+class that have the expression (numbers of different words before a word, the usual contexts, level off at the size of
+the vocabulary, sooner in the larger class, and would then tell the classes apart by their size).
+Both models are interpolated: what an expression's count departs from what its back-off lets expect is discounted by
+``discount`` standard deviations of that expectation, and the discounted part goes back to the back-off. So rare
+expressions are smoothed alike in both models through the shared counts, every expression is scored, and one that the
+classes do not tell apart has the same likelihood in both. (Plain Kneser-Ney discounts the count itself by less than
+one; on texts with many rare words the sum of their chance differences then hides the few words that matter.)
+
+A text's evidence is the difference of its log-likelihoods under the two models divided by its number of words; a
+logistic curve, fitted on labelled texts that no count has seen, turns it into a score. Only the curve is fitted on a
+bounded sample, up to ``per_class`` texts of each class by a hash of their id; it weighs them by the class counts of
+all labels, so the score means the same at every size.
+
+Only expressions whose likelihoods differ between the classes beyond their back-off need to be kept; no other has a
+part in any score. Up to ``model_rows`` of them (counted first) are sent to the workers, more are joined by shuffle.
+Labels are joined by broadcast up to ``label_rows`` of them (counted first), else by shuffle.
 
 Rows whose crc32(doc_id as text) mod 5 is 0 are never learnt from; remainder 4 fits the curve, the rest the counts.
 
 Defined results: null or empty text has evidence 0 and gets the curve's score for that; without labelled rows of both
 classes every score is 0; repeated rows get the same score; null labels are ignored, and a document labelled twice
-counts as toxic if either label says so; columns other than doc_id and text are ignored.
+counts as toxic if either label says so, as does a text; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -34,15 +38,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, filtered, staged, text_or_empty
+from millrace.llm.common import WORD, attach, filtered, staged, text_or_empty, unstage
 
 PER_CLASS = 20_000
-MOST = 50_000
-LEAST_G = 25.0
-LEAST_RATIO = 4.0
-DISCOUNT = 0.75
+DISCOUNT = 2.0
+#: Kept expressions in workers, about 200 bytes each, and labelled texts in a broadcast, about 50 bytes each.
+MODEL_ROWS = 1_000_000
+LABEL_ROWS = 2_000_000
 SCALE = 1000.0
-STEM = 5
 _WORDS = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 
 
@@ -52,27 +55,22 @@ def remainder(doc_id: Column) -> Column:
 
 @dataclass
 class Model:
-    """Log-likelihood ratios (toxic against ordinary) of kept expressions, and the curve of the score."""
+    """Log-likelihood ratios (toxic against ordinary) of expressions: by word, and by word and the word before it; and the curve."""
 
-    words: dict[str, float] = field(default_factory=dict)
-    stems: dict[str, float] = field(default_factory=dict)
-    pairs: dict[str, dict[str, float]] = field(default_factory=dict)  # by second word, then by first
+    known: dict[str, tuple[float, dict[str, float] | None]] = field(default_factory=dict)
     slope: float = 0.0
     offset: float = -math.inf
 
     def evidence(self, text: str | None) -> float:
         """Mean log-likelihood ratio per word."""
-        if not text:
-            return 0.0
-        words = _WORDS.findall(text.lower())
+        words = _WORDS.findall(text.lower()) if text else []
         if not words:
             return 0.0
-        single, stems, pairs, total = self.words, self.stems, self.pairs, 0.0
+        get, total = self.known.get, 0.0
         for i, w in enumerate(words):
-            if w in single:
-                total += pairs[w].get(words[i - 1] if i else "", single[w]) if w in pairs else single[w]
-            elif len(w) > STEM and w[:STEM] in stems:
-                total += stems[w[:STEM]]
+            if (found := get(w)) is not None:
+                alone, pairs = found
+                total += alone if pairs is None else pairs.get(words[i - 1] if i else "", alone)
         return total / len(words)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -91,78 +89,83 @@ def learnable(labels: DataFrame) -> DataFrame:
     return known.where(remainder(F.col("doc_id")) != 0)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """The bounded sample of rows to learn from: toxic (0 or 1), fold (1 to 4), text; each distinct text once."""
-    known = learnable(labels).withColumn("place", F.xxhash64("doc_id"))
-    picked = [known.where(F.col("toxic") == c).orderBy("place", "doc_id").limit(per_class) for c in (0, 1)]
-    picked = picked[0].unionAll(picked[1]).select(F.col("doc_id").alias("_id"), "toxic")  # at most 2 * per_class rows
-    rows = docs.select("doc_id", text_or_empty(F.col("text")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    return rows.groupBy("text").agg(F.max("toxic").alias("toxic"), F.max(remainder(F.col("doc_id"))).alias("fold"))
+def _with(docs: DataFrame, marks: DataFrame, on: list[str], label_rows: int) -> DataFrame:
+    """Rows of docs that have a mark, with its columns: a broadcast where the marks are few enough, else a shuffle."""
+    side = F.broadcast(marks) if marks.count() <= label_rows else marks
+    return docs.join(side, on)
 
 
-def _difference(t: str, o: str, all_t: int, all_o: int) -> Column:
-    """Log-likelihood ratio statistic of an expression that t of all_t toxic and o of all_o ordinary texts have."""
-    a, b = F.col(t).cast("double"), F.col(o).cast("double")
-    term = lambda k, n, p: F.when(k > 0, k * F.ln(k / n / p)).otherwise(F.lit(0.0)) + F.when(k < n, (n - k) * F.ln((1 - k / n) / (1 - p))).otherwise(F.lit(0.0))
-    nt, no = F.lit(float(all_t)), F.lit(float(all_o))
-    p = (a + b) / (nt + no)
-    return F.when(p < 1, 2 * (term(a, nt, p) + term(b, no, p))).otherwise(F.lit(0.0))
+def labelled(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, _h, text); and of each different text with a label one row: doc_id, _h, toxic (0 or 1), fold (1 to 4)."""
+    rows = docs.select("doc_id", text_or_empty(F.col("text")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    known = _with(rows.select("doc_id", "_h"), learnable(labels), ["doc_id"], label_rows)
+    one = known.groupBy("_h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.max(remainder(F.col("doc_id"))).alias("fold"))
+    return rows, staged(one, "labelled")
 
 
-def _versatile(texts: DataFrame, contexts: DataFrame, name: str) -> DataFrame:
-    """Counts of an expression by class: its texts, but no more than its contexts (ct, co)."""
-    counted = texts.join(contexts, name).select(name, F.least("t", "ct").alias("t"), F.least("o", "co").alias("o"), "types")
-    return staged(counted, "counts")
+def updated(r: Column, x: tuple, n: tuple, discount: float) -> Column:
+    """The log-ratio of an expression with counts x among n (toxic, ordinary), given the log-ratio r of its back-off."""
+    xt, xo, nt, no = (F.col(c).cast("double") for c in (*x, *n))
+    rate = (xt + xo) / (nt + no)
+    level = (nt + no) / (nt * F.exp(r) + no)
+    low = (rate * level * F.exp(r), rate * level)
+    part = lambda x, n, low: F.greatest(F.abs(x - n * low) - discount * F.sqrt(n * low + 1), F.lit(0.0)) * F.signum(x - n * low)
+    st, so = part(xt, nt, low[0]), part(xo, no, low[1])
+    est = lambda s, n, low: F.when(n > 0, low + s / n).otherwise(low)
+    return F.when((st == 0) & (so == 0), r).otherwise(F.ln(est(st, nt, low[0]) / est(so, no, low[1])))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, most: int = MOST, least_g: float = LEAST_G, least_ratio: float = LEAST_RATIO, discount: float = DISCOUNT) -> Model:
-    sample = staged(labelled(docs, labels, per_class), "labelled")
-    sizes = {(r["toxic"], r["held"]): r["n"] for r in sample.groupBy("toxic", (F.col("fold") == 4).alias("held")).agg(F.count("*").alias("n")).collect()}
-    all_t, all_o = sizes.get((1, False), 0), sizes.get((0, False), 0)
-    if not all_t or not all_o:
-        return Model()
+def ratios(texts: DataFrame, all_t: int, all_o: int, discount: float) -> tuple[DataFrame, DataFrame]:
+    """texts (toxic, text) to the ratios that differ from their back-off: words (w, r) and pairs (h, w, r)."""
     by_class = lambda df, *keys: df.groupBy(*keys).agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("o"))
-    seen = sample.where("fold <> 4").select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
-    once = lambda items, name: by_class(seen.select("toxic", F.explode(F.array_distinct(items)).alias(name)), name)
-    stem = lambda w: F.substring(w, 1, STEM)
+    seen = texts.select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    once = lambda items, name: seen.select("toxic", F.explode(F.array_distinct(items)).alias(name))
     two = F.zip_with(F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))), "w", lambda h, w: F.concat_ws(" ", h, w))  # text: structs are made distinct in quadratic time
-    pairs = staged(once(two, "p").select(F.substring_index("p", " ", 1).alias("h"), F.substring_index("p", " ", -1).alias("w"), "t", "o"), "pairs")
-    shared = pairs.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("ct"), F.count_if(F.col("o") > 0).alias("co"), F.count("*").alias("types"))
-    words = _versatile(once(F.col("w"), "w"), shared, "w")
-    before = lambda c: F.count_distinct(F.when(F.col(c) > 0, F.col("h")))
-    shared = pairs.where(F.length("w") > STEM).groupBy(stem("w").alias("s")).agg(before("t").alias("ct"), before("o").alias("co"), F.count_distinct("h").alias("types"))
-    stems = _versatile(once(F.transform(F.filter("w", lambda w: F.length(w) > STEM), stem), "s"), shared, "s")
-
-    types = pairs.count()
-    strong = lambda df: df.withColumn("g", _difference("t", "o", all_t, all_o)).where(F.col("g") >= least_g).orderBy(F.desc("g"), *[c for c in ("h", "w", "s") if c in df.columns]).limit(most).drop("g")
-    context = pairs.groupBy("h").agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"), F.count_if(F.col("t") > 0).alias("kt"), F.count_if(F.col("o") > 0).alias("ko"))
-    model = Model()
-
-    def estimates(table: DataFrame, name: str) -> dict[str, tuple[float, float]]:
-        n = table.agg(F.sum("t"), F.sum("o"), F.count_if(F.col("t") > 0), F.count_if(F.col("o") > 0)).first()
-        made = {}
-        for r in strong(table).collect():  # at most ``most`` rows
-            rest = (r["types"] + 0.5) / (types + 1)
-            pair = tuple((max(x - discount, 0) + discount * k * rest) / max(total, 1) for x, total, k in ((r["t"], n[0] or 0, n[2]), (r["o"], n[1] or 0, n[3])))
-            if abs(math.log(pair[0] / pair[1])) >= math.log(least_ratio):
-                made[r[name]] = pair
-        return made
-
-    lower = estimates(words, "w")
-    model.words = {w: math.log(a / b) for w, (a, b) in lower.items()}
-    model.stems = {s: math.log(a / b) for s, (a, b) in estimates(stems, "s").items()}
-    for r in strong(pairs).join(context, "h").select("h", "w", "t", "o", "ht", "ho", "kt", "ko").collect():
-        if r["w"] not in lower:
-            continue
-        p = [(max(n - discount, 0) + discount * k * low) / total if total else low for n, total, k, low in ((r["t"], r["ht"], r["kt"], lower[r["w"]][0]), (r["o"], r["ho"], r["ko"], lower[r["w"]][1]))]
-        model.pairs.setdefault(r["w"], {})[r["h"]] = math.log(p[0] / p[1])
-
-    held = evidence(sample.where("fold = 4").select(F.col("toxic").alias("doc_id"), "text"), model).select("doc_id", "evidence").collect()  # at most 2 * per_class rows
-    if not held:
-        held = evidence(sample.select(F.col("toxic").alias("doc_id"), "text"), model).select("doc_id", "evidence").collect()
-    weight = {r["toxic"]: max(1.0, r["n"] / per_class) for r in learnable(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    model.slope, model.offset = fit_curve(np.asarray([r["evidence"] for r in held]), np.asarray([float(r["doc_id"]) for r in held]), np.asarray([weight[r["doc_id"]] for r in held]))
-    return model
+    halves = once(two, "p").select("toxic", F.xxhash64(F.substring_index("p", " ", 1)).alias("hk"), F.xxhash64(F.substring_index("p", " ", -1)).alias("wk"))
+    often = F.col("t") + F.col("o") > discount  # a count departs by more than ``discount``, or nothing changes
+    pairs = staged(by_class(halves, "hk", "wk").where(often), "pairs")
+    words = by_class(once(F.col("w"), "w"), "w").select(F.xxhash64("w").alias("wk"), "w", "t", "o", F.lit(all_t).alias("nt"), F.lit(all_o).alias("no"))
+    words = staged(words.select("wk", "w", "t", "o", updated(F.lit(0.0), ("t", "o"), ("nt", "no"), discount).alias("r")), "words")
+    start = words.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("hk"), F.lit("").alias("h"), F.lit(all_t).cast("long").alias("ht"), F.lit(all_o).cast("long").alias("ho"))
+    before = words.select(F.col("wk").alias("hk"), F.col("w").alias("h"), F.col("t").alias("ht"), F.col("o").alias("ho")).unionAll(start)
+    told = pairs.join(words.select("wk", "w", "r"), "wk").join(before, "hk")
+    changed = told.withColumn("r2", updated(F.col("r"), ("t", "o"), ("ht", "ho"), discount)).where("r2 <> r").select("h", "w", F.col("r2").alias("r"))
+    out = staged(words.where("r <> 0").select("w", "r"), "word-ratios"), staged(changed, "pair-ratios")
+    unstage(pairs, words)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, discount: float = DISCOUNT, model_rows: int = MODEL_ROWS, label_rows: int = LABEL_ROWS) -> tuple[Model, tuple[DataFrame, DataFrame] | None]:
+    """The model; its expressions are in it, or where they are more than ``model_rows`` in the two tables beside it."""
+    rows, one = labelled(docs, labels, label_rows)
+    sizes = {(r["toxic"], r["held"]): r["n"] for r in one.groupBy("toxic", (F.col("fold") == 4).alias("held")).agg(F.count("*").alias("n")).collect()}
+    all_t, all_o = sizes.get((1, False), 0), sizes.get((0, False), 0)
+    if not all_t or not all_o:
+        unstage(one)
+        return Model(), None
+    words, pairs = ratios(_with(rows, one.where("fold <> 4"), ["doc_id", "_h"], label_rows), all_t, all_o, discount)
+    model, tables = Model(), (words, pairs)
+    if words.count() + pairs.count() <= model_rows:
+        ahead: dict[str, dict[str, float]] = {}
+        for r in pairs.collect():
+            ahead.setdefault(r["w"], {})[r["h"]] = r["r"]
+        alone = {r["w"]: r["r"] for r in words.collect()}
+        model.known = {w: (alone.get(w, 0.0), ahead.get(w)) for w in alone.keys() | ahead.keys()}
+        unstage(*tables)
+        tables = None
+
+    held = one.where("fold = 4") if sizes.get((1, True)) or sizes.get((0, True)) else one
+    place = F.xxhash64("doc_id", "_h")
+    picked = [held.where(F.col("toxic") == c).orderBy(place, "_h").limit(per_class) for c in (0, 1)]
+    sample = _with(rows, picked[0].unionAll(picked[1]), ["doc_id", "_h"], label_rows).select(F.col("toxic").alias("doc_id"), "text")
+    found = evidence(sample, model, tables).select("doc_id", "evidence").collect()  # at most 2 * per_class rows
+    total = {r["toxic"]: r["n"] for r in learnable(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    got = {c: sum(r["doc_id"] == c for r in found) for c in (0, 1)}
+    weight = {c: max(1.0, total.get(c, 0) / max(got[c], 1)) for c in (0, 1)}
+    least = min(weight.values())  # the curve as if it had seen the sample, at the rates of all labels
+    model.slope, model.offset = fit_curve(np.asarray([r["evidence"] for r in found]), np.asarray([float(r["doc_id"]) for r in found]), np.asarray([weight[r["doc_id"]] / least for r in found]))
+    unstage(one)
+    return model, tables
 
 
 def fit_curve(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray | float = 1.0, ridge: float = 0.01) -> tuple[float, float]:
@@ -180,29 +183,51 @@ def fit_curve(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray | floa
     return float(beta[0]), float(beta[1])
 
 
-def evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text) to doc_id, _h, evidence, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def evidence(docs: DataFrame, model: Model, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """docs (doc_id, text) to doc_id, _h, evidence, score; with ``tables`` the model's expressions are joined by shuffle."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.col("text").cast("string").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if tables is not None:
+        rows = _joined_evidence(rows, *tables)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for b in batches:
-            e = np.asarray([own.evidence(t) for t in b["text"]], float)
+            e = b["evidence"].to_numpy(float) if "evidence" in b else np.asarray([own.evidence(t) for t in b["text"]], float)
             yield pd.DataFrame({"doc_id": b["doc_id"], "_h": b["_h"], "evidence": e, "score": own.score(e)})
 
-    return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _h long, evidence double, score double")
+    return rows.mapInPandas(run, f"doc_id {kind}, _h long, evidence double, score double")
+
+
+def _joined_evidence(rows: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rows (doc_id, _h, text) to doc_id, _h, evidence: every different text's words meet the ratios by shuffle, combined by word pair."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    seen = rows.select("_h", w.alias("w")).where(F.size("w") > 0)
+    before = F.concat(F.array(F.lit("")), F.slice("w", 1, F.size("w") - 1))
+    tokens = seen.select("_h", F.size("w").alias("size"), F.explode(F.arrays_zip(before.alias("h"), F.col("w"))).alias("x")).select("_h", "size", "x.h", "x.w")
+    rows_of = seen.groupBy("_h").agg(F.count("*").alias("times"))  # repeated texts
+    ratio = F.coalesce(F.col("pr"), F.col("wr"), F.lit(0.0))
+    counted = tokens.groupBy("_h", "size", "h", "w").agg(F.count("*").alias("n"))
+    told = counted.join(words.select("w", F.col("r").alias("wr")), "w", "left").join(pairs.select("h", "w", F.col("r").alias("pr")), ["h", "w"], "left")
+    mean = told.groupBy("_h", "size").agg(F.sum(ratio * F.col("n")).alias("total")).join(rows_of, "_h")
+    mean = mean.select("_h", (F.col("total") / F.col("times") / F.col("size")).alias("evidence"))
+    return attach(rows.select("doc_id", "_h"), mean, ["_h"]).select("doc_id", "_h", F.coalesce("evidence", F.lit(0.0)).alias("evidence"))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, options: dict) -> DataFrame:
+    return evidence(docs, *train(docs, labels, **options))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, _h, held_out, score, predicted, evidence."""
-    scored = evidence(docs, train(docs, labels, **options))
+    scored = _judged(docs, labels, options)
     return scored.select("doc_id", "_h", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that are not predicted toxic, all columns kept."""
-    bad = evidence(docs, train(docs, labels, **options)).where("score >= 0.5").select("doc_id", "_h").distinct()
+    bad = _judged(docs, labels, options).where("score >= 0.5").select("doc_id", "_h").distinct()
     return filtered(docs, staged(bad, "toxic"), "left_anti")
 
 

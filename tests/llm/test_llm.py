@@ -168,10 +168,80 @@ def test_a_cut_sample_keeps_the_rate_of_the_classes(spark):
     docs = spark.createDataFrame([(i, f"a{i} b{i} " + " ".join(rng.choices([f"w{k}" for k in range(50)], k=10))) for i in range(1800)], "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 9 == 0).cast("int").alias("toxic"))
     for per_class in (100, 20_000):
-        rate = toxicity.train(docs, labels, per_class=per_class).score(np.zeros(1))[0]
+        rate = toxicity.train(docs, labels, per_class=per_class)[0].score(np.zeros(1))[0]
         assert abs(rate - 1 / 9) < 0.06
 
 
+def brute_evidence(rows, toxic, discount=toxicity.DISCOUNT):
+    """The two models over rows (doc_id, text) with labels, word by word and pair by pair."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    texts = defaultdict(lambda: (0, 0))
+    for i, t in rows:
+        if i in toxic and fold(i):
+            texts[t] = (max(texts[t][0], toxic[i]), max(texts[t][1], fold(i)))
+    count, size, split = defaultdict(lambda: [0, 0]), [0, 0], {}
+    for t, (y, f) in texts.items():
+        if f == 4:
+            continue
+        w = split.setdefault(t, words(t))
+        size[y] += 1
+        for x in set(w) | set(zip(["", *w], w)):
+            count[x][y] += 1
+    def update(r, x, n):
+        rate = sum(x) / sum(n)
+        level = sum(n) / (n[1] * math.exp(r) + n[0])
+        low = [rate * level, rate * level * math.exp(r)]
+        part = [math.copysign(max(abs(x[y] - n[y] * low[y]) - discount * math.sqrt(n[y] * low[y] + 1), 0), x[y] - n[y] * low[y]) for y in (0, 1)]
+        est = [low[y] + part[y] / n[y] if n[y] else low[y] for y in (0, 1)]
+        return r if part == [0, 0] else math.log(est[1] / est[0])
+
+    def ratio(h, w):
+        if w not in count:
+            return 0.0
+        r = update(0.0, count[w], size)
+        return update(r, count[h, w], count[h] if h else size) if (h, w) in count else r
+
+    out = {}
+    for i, t in rows:
+        w = words(t)
+        out[i] = sum(ratio(h, x) for h, x in zip(["", *w], w)) / len(w) if w else 0.0
+    return out
+
+
+@pytest.mark.parametrize("bounds", [{}, {"model_rows": 0, "label_rows": 0}])
+def test_toxicity_is_the_two_models(spark, bounds):
+    """Against the models by brute force; a toxic word, a toxic pair of ordinary words, and what is rare."""
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(60)]
+    rows, toxic = [], {}
+    for i in range(700):
+        w = rng.choices(vocab, k=rng.randint(0, 30))
+        if i % 5 == 0:
+            w += rng.choice([["idiot"], ["w1", "w2"], ["moron", "w3"]])
+        if i % 50 == 0:
+            w.append(f"rare{i}")
+        rows.append((i, " ".join(w)))
+        if i % 7:
+            toxic[i] = int(i % 5 == 0)
+    rows += [(900 + i, rows[i][1]) for i in range(20)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    got = {r["doc_id"]: r["evidence"] for r in toxicity.toxicity(docs, labels, **bounds).collect()}
+    want = brute_evidence(rows, toxic)
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-12) for i in want)
+    assert want[5] > 0 and len({round(x, 9) for x in want.values()}) > 100
+
+
+@here
+def test_toxicity_of_the_tables(spark):
+    """Held-out labels of the middle tables."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").select("toxic", "predicted").collect()
+    assert sum(r["predicted"] > r["toxic"] for r in rows) <= 0.02 * len(rows)
+    assert sum(r["predicted"] and r["toxic"] for r in rows) >= 0.5 * sum(r["toxic"] for r in rows)
+
+
 def _toxic_corpus():
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(300)]
