@@ -39,6 +39,8 @@ from millrace.llm.common import new_path, slices
 END_ID = 1
 #: Pieces, and words of pieces, that a worker remembers; about 150 bytes each.
 REMEMBERED = 400_000
+#: Text of a part, in bytes.
+PART_BYTES = 24 << 20
 
 
 def _filesystem(path: str):
@@ -177,7 +179,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
     files, root = _filesystem(folder)
     files.create_dir(root, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n_parts = max(1, rows.rdd.getNumPartitions())
+    n_parts = max(1, -(-(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PART_BYTES))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     laid = rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
 
