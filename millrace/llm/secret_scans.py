@@ -83,23 +83,21 @@ def likelihood_ratio(token: Column) -> Column:
     return F.coalesce(F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(steps), F.lit(0)), F.lit(0.0))
 
 
-def _matches(docs: DataFrame, kind: str, pattern: str, group: int) -> DataFrame:
-    """One row per match of a kind: its length, the length of the piece before it and the wanted group."""
-    hit = docs.where(F.col("t").rlike(pattern))
-    gaps = F.transform(F.split("t", pattern, -1), lambda x: F.length(x))
-    whole = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all("t", F.lit(pattern), F.lit(group)) if group else whole
+def _matches(text: Column, kind: str, pattern: str, group: int) -> Column:
+    """The matches of a kind: structs of kind, place, length of the piece before it, its length and the wanted group."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     zipped = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), F.transform(whole, lambda x: F.length(x)).alias("n"), part.alias("part"))
-    rows = hit.select("doc_id", "_h", F.posexplode(zipped).alias("i", "m"))
-    return rows.select("doc_id", "_h", F.lit(kind).alias("kind"), "i", F.col("m.gap").alias("gap"), F.col("m.n").alias("n"), F.col("m.part").alias("part"))
+    rows = F.transform(zipped, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), m["gap"].alias("gap"), m["n"].alias("n"), m["part"].alias("part")))
+    return F.when(text.rlike(pattern), rows).otherwise(F.array().cast("array<struct<kind:string,i:int,gap:int,n:int,part:string>>"))
 
 
 def secret_spans(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """One row per text that has spans: doc_id, _h, base (sorted structs of start, order, end), added (the model's)."""
     t = docs.select("doc_id", F.xxhash64(text_or_empty(F.col("text"))).alias("_h"), text_or_empty(F.col("text")).alias("t"))
-    found = _matches(t, "assign", ASSIGN, 1)
-    for kind, pattern in (("access", ACCESS), ("hex", HEX), ("markov", TOKEN)):
-        found = found.unionAll(_matches(t, kind, pattern, 0))
+    patterns = (("assign", ASSIGN, 1), ("access", ACCESS, 0), ("hex", HEX, 0), ("markov", TOKEN, 0))
+    found = t.select("doc_id", "_h", F.inline(F.concat(*[_matches(F.col("t"), *p) for p in patterns])))
     found = found.repartition("doc_id", "_h").dropDuplicates(["doc_id", "_h", "kind", "i"])
     along = Window.partitionBy("doc_id", "_h", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("n")).over(along)
