@@ -4,15 +4,18 @@ Windows are ``width`` consecutive words of an item; an item with fewer words (bu
 to the executors as a broadcast only after its size was checked (``BROADCAST_WORDS``); a larger benchmark is dealt
 into parts of that size and the documents are scanned once for each part. A document word inside any occurrence of
 a window is hit. Words are first mapped to ids of the benchmark's own vocabulary, so only runs of known words are
-looked at; the windows themselves are compared word by word, no hash decides.
+looked at; the windows themselves are compared word by word, no hash decides. The driver holds one part at a time, and a worker
+builds a part's set once, for all its tasks.
 
-Defined results: null text or item has no words; empty texts are not contaminated; an empty benchmark hits nothing;
+Defined results: null text or item has no words; the windows of an item without an id hit, and it counts as an item but
+has no place in the list of ids; empty texts are not contaminated; an empty benchmark hits nothing;
 a repeated row gets the same result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import attach, filtered, staged
 
 WIDTH = 10
-#: Words of benchmark items in one broadcast: about 100 bytes each in a worker.
-BROADCAST_WORDS = 1_000_000
+#: Words of benchmark items in one broadcast: about 270 bytes each in a worker.
+BROADCAST_WORDS = 400_000
 _WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -79,13 +82,25 @@ class WindowSet:
         return merged, items
 
 
-def _parts(benchmark: DataFrame, broadcast_words: int) -> list[list[tuple[object, list[str]]]]:
-    """The benchmark's items in parts of a bounded number of words; the count is checked before anything is fetched."""
+def _parts(benchmark: DataFrame, broadcast_words: int) -> Iterator[list[tuple[object, list[str]]]]:
+    """The benchmark's items, a part of a bounded number of words at a time; they are counted before anything is fetched."""
     sized = benchmark.select("item_id", F.col("text").cast("string").alias("text"), (F.length("text") / 2 + 1).cast("long").alias("most"))
     total = sized.agg(F.sum("most")).first()[0] or 0
     n = max(1, -(-total // broadcast_words))
     dealt = sized.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    return [[(r["item_id"], words_of(r["text"])) for r in (dealt if n == 1 else dealt.where(F.col("part") == i)).select("item_id", "text").collect()] for i in range(n)]
+    for i in range(n):
+        yield [(r["item_id"], words_of(r["text"])) for r in (dealt if n == 1 else dealt.where(F.col("part") == i)).select("item_id", "text").collect()]
+
+
+_built: dict[str, WindowSet] = {}
+
+
+def _window_set(name: str, items: list, width: int) -> WindowSet:
+    """The set of a part, built once a worker; that of an earlier part is forgotten."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = WindowSet(items, width)
+    return _built[name]
 
 
 _SPANS = "array<struct<start:long,end:long>>"
@@ -98,10 +113,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH,
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _h long, n_words long, spans {_SPANS}, items array<string>"
 
     def scan(part: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(part)
+        shared, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            windows = WindowSet(shared.value, width)
+            from millrace.llm.decontamination import _window_set  # the worker's own module, which outlives a task
+
+            windows = _window_set(name, shared.value, width)
             for b in batches:
                 n, spans, items = [], [], []
                 for text in b["text"]:  # the words of one text at a time
@@ -109,15 +126,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH,
                     places, found = windows.find(words)
                     n.append(len(words))
                     spans.append([{"start": s, "end": e} for s, e in places])
-                    items.append(sorted(map(str, found)))
+                    items.append(sorted(str(x) for x in found if x is not None) + [None] * (None in found))
                 yield pd.DataFrame({"doc_id": b["doc_id"], "_h": b["_h"], "n_words": n, "spans": spans, "items": items})
 
         return rows.mapInPandas(run, schema)
 
     parts = _parts(benchmark, broadcast_words)
-    out = scan(parts[0])
-    if len(parts) > 1:  # a pass for each part; what the passes hit meets by document
-        passes = [staged(scan(p).where(F.size("spans") > 0).distinct(), "leaks") for p in parts]
+    part = next(parts)
+    out, passes = scan(part), []
+    for later in parts:  # a pass for each part; what the passes hit meets by document
+        if not passes:
+            passes.append(staged(out.where(F.size("spans") > 0).distinct(), "leaks"))
+        passes.append(staged(scan(later).where(F.size("spans") > 0).distinct(), "leaks"))
+    if passes:
         hit = passes[0]
         for more in passes[1:]:
             hit = hit.unionAll(more)
