@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from millrace.lang import compile as C
 from millrace.lang.parser import parse_interpolation
 
-RESERVED = ("_seq", "_batch", "_meta", "_error", "_content", "_origin", "_arm")
+RESERVED = ("_seq", "_batch", "_meta", "_error", "_content", "_origin", "_arm", "_record", "_before")
 ERROR = "struct<message:string,name:string,label:string,path:string>"
 
 
@@ -181,6 +181,16 @@ class Resources:
     spark: Any = None
     allow_commands: bool = False
 
+    def load(self, path: str) -> str:
+        """The text of an imported mapping: one given by name, else that of a file, read once by the driver."""
+        if path not in self.imports:
+            try:
+                with open(path, encoding="utf-8") as f:
+                    self.imports[path] = f.read()
+            except OSError as e:
+                raise ConfigError(f"failed to read import {path!r}: {e}") from None
+        return self.imports[path]
+
 
 def cut(stream: Stream) -> Stream:
     """Run the plan so far and go on from its rows, written to the folder of spark.checkpoint.dir; a stream goes on as it is.
@@ -198,6 +208,8 @@ def cut(stream: Stream) -> Stream:
 
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not where:
+            if sc.master.split("[")[0] != "local":
+                raise ConfigError("spark.checkpoint.dir must name a folder that all executors see")
             where = tempfile.mkdtemp(prefix="millrace-checkpoint-")
             atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.lang import compile as C
-from millrace.operators.envelope import ConfigError, Resources, Stream, apply_all, interpolated, predicate, processor
+from millrace.operators.envelope import ConfigError, Resources, Stream, apply_all, cut, interpolated, predicate, processor
 
 #: A table of up to this many bytes (as the optimizer estimates it) is broadcast by the optimizer; we add no hint of our own.
 
@@ -69,6 +69,10 @@ def cache_table(res: Resources, name: str) -> DataFrame:
     if kind == "noop":
         return res.spark.createDataFrame([], "key string, value string")
     if kind == "file":
+        import os
+
+        if not os.path.isdir(conf["directory"]):
+            return res.spark.createDataFrame([], "key string, value string")
         files = res.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(conf["directory"])
         return files.select(F.element_at(F.split("path", "/"), -1).alias("key"), F.decode("content", "UTF-8").alias("value"))
     if kind == "multilevel":
@@ -80,6 +84,47 @@ def cache_table(res: Resources, name: str) -> DataFrame:
     raise ConfigError(f"unknown kind of cache {kind!r}")
 
 
+def _folder(res: Resources, name: str) -> str | None:
+    """The folder of a file cache."""
+    c = res.caches.get(name)
+    return c["file"]["directory"] if isinstance(c, dict) and "file" in c else None
+
+
+def _each_key(rows: DataFrame, folder: str, gone: bool) -> None:
+    """Write (key, value) as files of a folder that all executors see, or delete them; written aside and renamed, so a task may run again."""
+
+    def run(part):
+        import os
+        import uuid
+
+        for r in part:
+            if "/" in r["key"] or r["key"] in ("", ".", ".."):
+                raise ValueError(f"no file name: {r['key']!r}")
+            path = os.path.join(folder, r["key"])
+            if gone:
+                if os.path.exists(path):
+                    os.remove(path)
+                continue
+            aside = f"{folder}/.{uuid.uuid4().hex}"
+            with open(aside, "w", encoding="utf-8") as f:
+                f.write(r["value"] or "")
+            os.replace(aside, path)
+
+    import os
+
+    os.makedirs(folder, exist_ok=True)
+    rows.foreachPartition(run)
+
+
+def put_rows(res: Resources, name: str, rows: DataFrame) -> None:
+    """Set keys (unique) of a cache: a file cache is written now, another is a plan that goes on from the table."""
+    table = cache_table(res, name)
+    if folder := _folder(res, name):
+        _each_key(rows, folder, False)
+    else:
+        res.caches[name] = table.join(rows, "key", "left_anti").unionByName(rows.select("key", "value"))
+
+
 def looked_up(stream: Stream, table: DataFrame, key: Column) -> DataFrame:
     """The stream's rows with ``_value`` (null where the key is not in the table); keys of the table are unique."""
     t = table.select(F.col("key").alias("_k"), F.col("value").alias("_value"), F.lit(True).alias("_hit"))
@@ -107,7 +152,10 @@ def cache(stream: Stream, conf, res: Resources) -> Stream:
     rows = s.df.select(key.alias("key"), interpolated(s, conf.get("value", "")).col.alias("value"), F.col("_seq"))
     if op == "set":
         last = rows.groupBy("key").agg(F.max_by("value", "_seq").alias("value"))
-        res.caches[name] = table.join(last, "key", "left_anti").unionByName(last)
+        put_rows(res, name, last)
+        return s
+    if op == "delete" and (folder := _folder(res, name)):
+        _each_key(rows.select("key").distinct(), folder, True)
         return s
     if op == "delete":
         res.caches[name] = table.join(rows.select("key").distinct(), "key", "left_anti")
@@ -115,7 +163,9 @@ def cache(stream: Stream, conf, res: Resources) -> Stream:
     if op == "add":
         firsts = rows.groupBy("key").agg(F.min("_seq").alias("_first"), F.min_by("value", "_seq").alias("value"))
         fresh = firsts.join(table.select("key"), "key", "left_anti")
-        res.caches[name] = table.unionByName(fresh.select("key", "value"))
+        if _folder(res, name):
+            fresh = cut(Stream(fresh)).df  # what is new is told before it is written
+        put_rows(res, name, fresh.select("key", "value"))
         tagged = s.df.withColumn("_key", key).join(fresh.select(F.col("key").alias("_k"), "_first"), F.col("_key") == F.col("_k"), "left")
         out = Stream(tagged.withColumn("_e", F.when(~F.coalesce(F.col("_first") == F.col("_seq"), F.lit(False)), F.lit("key already exists"))).drop("_key", "_k", "_first"))
         return out.flag(F.col("_e"), "cache").without("_e")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,8 +13,12 @@ from millrace.operators.batches import reduced, reduction
 from millrace.operators.envelope import ERROR, ConfigError, Resources, Stream, apply_all, apply_processor, cut, named, predicate, processor
 
 
+#: Rounds of a retry without max_retries.
+LIMIT = 1000
+
+
 def _mapped(stream: Stream, text: str, res: Resources, onto: bool, name: str) -> Stream:
-    mapping = P.parse(text, res.imports.__getitem__)
+    mapping = P.parse(text, res.load)
     writes_meta = any(getattr(s, "kind", "") == "meta" for s in mapping.statements) or "@" in text or "meta(" in text
     stream = stream.ensure("_meta") if writes_meta else stream
     if ("batch_" in text or ".from" in text or "count(" in text or "counter(" in text) and not stream.has("_seq"):
@@ -121,7 +127,7 @@ def branch(stream: Stream, conf, res: Resources) -> Stream:
     asked = Stream(packed.withColumn("_error", F.lit(None).cast(ERROR)))
     skipped = None
     if request:
-        m = P.parse(request, res.imports.__getitem__)
+        m = P.parse(request, res.load)
         made = C.compile_mapping(m, asked.env())
         if made.deleted is not None:
             gone = F.coalesce(made.deleted if made.error is None else made.deleted & made.error.isNull(), F.lit(False))
@@ -135,7 +141,7 @@ def branch(stream: Stream, conf, res: Resources) -> Stream:
     root = C.Val(origin, kind, fields={f.name: C.Val(origin.getField(f.name), f.dataType) for f in kind})
     failed = F.col("_error.message") if done.has("_error") else F.lit(None).cast("string")
     env = done.env()
-    m = P.parse(result, res.imports.__getitem__) if result else P.Mapping()
+    m = P.parse(result, res.load) if result else P.Mapping()
     state = {"root": root, "gone": None, "error": failed}
     C._run(m.statements, C.replace(env, maps=m.maps, vars={}, root=root, new_meta=origin.getField("_old_meta")), state, False)
     error = state["error"]
@@ -248,11 +254,13 @@ def try_catch(stream: Stream, conf, res: Resources) -> Stream:
 
 @processor("while")
 def while_(stream: Stream, conf, res: Resources) -> Stream:
-    """Children run again on rows for which the check holds, ``max_loops`` times at most, until no row is left. Each round runs
-    when it is planned and goes on from its rows; in a stream the rounds are unrolled."""
+    """Children run again on rows for which the check holds, ``max_loops`` times at most (unset or 0: no limit), until no row is
+    left. Each round runs when it is planned and goes on from its rows; in a stream the rounds are unrolled, so it needs a limit."""
     done: list[Stream] = []
-    rest = stream
-    for i in range(conf.get("max_loops") or 1000):
+    rest, most = stream, conf.get("max_loops") or 0
+    if not most and stream.df.isStreaming:
+        raise ConfigError("while needs max_loops in a stream")
+    for i in range(most) if most else itertools.count():
         if not (conf.get("at_least_once") and i == 0):
             flag = rest.df.withColumn("_arm", predicate(rest, conf["check"]))
             done.append(Stream(flag.where(~F.col("_arm")).drop("_arm")))
@@ -275,8 +283,9 @@ def for_each(stream: Stream, conf, res: Resources) -> Stream:
 
 @processor("retry")
 def retry(stream: Stream, conf, res: Resources) -> Stream:
-    """Children, again on rows that failed, up to ``max_retries`` times (3); ``retry_count`` tells how often in metadata."""
-    most = conf.get("max_retries") or 3
+    """Children, again on rows that failed, up to ``max_retries`` times (unset or 0: no limit, but an error after ``LIMIT``);
+    ``retry_count`` tells how often in metadata."""
+    most = conf.get("max_retries") or LIMIT
     todo = stream.ensure("_error", "_meta")
     todo = Stream(todo.df.withColumn("_origin", F.struct(*[F.col(f"`{c}`") for c in [*todo.fields, *(["_content"] if todo.raw else [])]])).withColumn("_error", F.lit(None).cast(ERROR)))
     done: list[Stream] = []
@@ -284,9 +293,11 @@ def retry(stream: Stream, conf, res: Resources) -> Stream:
         out = apply_all(todo, conf.get("processors", []), res)
         counted = F.map_concat(F.map_filter("_meta", lambda k, _: k != "retry_count"), F.create_map(F.lit("retry_count"), F.lit(str(i))))
         out = cut(Stream(out.df.withColumn("_meta", counted)))
-        if i == most:
+        if i == most and conf.get("max_retries"):
             done.append(out)
             break
+        if i == most:
+            raise RuntimeError(f"rows still fail after {LIMIT} retries")
         done.append(Stream(out.df.where("_error IS NULL")))
         failed = out.df.where("_error IS NOT NULL")
         if failed.isEmpty():
@@ -298,27 +309,31 @@ def retry(stream: Stream, conf, res: Resources) -> Stream:
 
 @processor("workflow")
 def workflow(stream: Stream, conf, res: Resources) -> Stream:
-    """Branches in layers: by ``order``, or by what they read and write. A record of what became of them goes to ``meta_path``."""
+    """Branches in layers: by ``order``, or by what they read and write. A record of what became of them goes to ``meta_path``:
+    the names of those that ``succeeded``, and why others ``failed`` by name; rows with one of the latter are flagged."""
     branches = dict(conf.get("branches") or {})
     for name in conf.get("branch_resources") or []:
         kind, settings, _ = named(res.processors[name])
         branches[name] = settings
     layers = conf.get("order") or layers_of(branches)
-    done: list[str] = []
+    names = sorted(n for layer in layers for n in layer)
+    s = stream.ensure("_error")
+    s = Stream(s.df.withColumn("_before", F.col("_error")).withColumn("_record", F.create_map().cast("map<string,string>")))
     for layer in layers:
         for name in layer:
-            stream = branch(stream, branches[name], res)
-            done.append(name)
+            s = branch(Stream(s.df.withColumn("_error", F.lit(None).cast(ERROR))), branches[name], res)
+            why = F.col("_error.message")
+            s = Stream(s.df.withColumn("_record", F.when(why.isNull(), F.col("_record")).otherwise(F.map_concat("_record", F.create_map(F.lit(name), why)))))
+    failed = F.map_keys("_record")
+    why = F.when(F.size(failed) > 0, F.concat(F.lit("workflow branches failed: ["), F.array_join(F.array_sort(failed), " "), F.lit("]")))
+    s = Stream(s.df.withColumn("_error", F.col("_before"))).flag(why, "workflow")
     path = conf.get("meta_path", "meta.workflow")
-    if path and not stream.raw:
-        stream = stream.ensure("_error")
-        names = F.array(*map(F.lit, done)).cast("array<string>")
-        doc = stream.document()
-        bad = F.col("_error").isNotNull()
-        val = C.obj({"succeeded": C.Val(F.when(~bad, names).otherwise(F.array().cast("array<string>")), T.ArrayType(C.STRING)), "failed": C.Val(F.when(bad, F.col("_error.message")), C.STRING)})
-        root = C._write(doc, tuple(path.split(".")), val)
-        stream = _placed(stream, C.Mapped(root), "workflow")
-    return stream
+    if path and not s.raw:
+        well = F.array_except(F.array(*map(F.lit, names)).cast("array<string>"), failed)
+        or_null = lambda c: F.when(F.size(c) > 0, c)
+        val = C.obj({"succeeded": C.Val(or_null(well), T.ArrayType(C.STRING)), "failed": C.Val(or_null(F.col("_record")), T.MapType(C.STRING, C.STRING))})
+        s = _placed(s, C.Mapped(C._write(s.document(), tuple(path.split(".")), val)), "workflow")
+    return s.without("_record", "_before")
 
 
 def paths_read(text: str) -> set[tuple[str, ...]]:

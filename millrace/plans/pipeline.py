@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 from dataclasses import dataclass, field
@@ -13,16 +14,24 @@ from millrace.operators import batches, effects, formats, lookups, rows  # noqa:
 from millrace.operators.envelope import PROCESSORS, ConfigError, Resources, Stream, apply_all, named
 from millrace.sources import inputs, outputs
 
-_VARIABLE = re.compile(r"\$\{([A-Za-z0-9_.]+)(?::((?:[^}\\]|\\.)*))?\}")
+_VARIABLE = re.compile(r"\$\{([A-Za-z0-9_.]+)(?::((?:[^}\\]|\\.)*)|\|([a-z0-9_]+))?\}")
 
 
 def substitute(text: str, env: dict[str, str] | None = None) -> str:
-    """Environment variables: ``${NAME}`` and ``${NAME:default}``; line breaks in a value stay on its line."""
+    """Environment variables: ``${NAME}``, ``${NAME:default}``, either with ``|base64decode`` at the end; line breaks in a value stay on its line."""
     env = dict(os.environ) if env is None else env
 
     def one(m: re.Match) -> str:
-        value = env.get(m[1], "")
-        return (value or m[2] or "").replace("\n", "\\n")
+        default, _, how = (m[2] or "").rpartition("|") if "|" in (m[2] or "") else (m[2] or "", "", m[3] or "")
+        value = env.get(m[1], "") or default
+        if how == "base64decode":
+            try:
+                value = base64.b64decode(value, validate=True).decode()
+            except ValueError as e:
+                raise ConfigError(f"variable {m[1]} is no base64 text: {e}") from None
+        elif how:
+            raise ConfigError(f"unknown function {how!r} of variable {m[1]}")
+        return value.replace("\n", "\\n")
 
     return _VARIABLE.sub(one, text)
 
@@ -30,6 +39,8 @@ def substitute(text: str, env: dict[str, str] | None = None) -> str:
 KINDS = {"cache": "caches", "processor": "processors", "input": "inputs", "output": "outputs", "rate_limit": "rate_limits"}
 TOP = ("http", "input", "buffer", "pipeline", "output", "logger", "metrics", "tracer", "shutdown_delay", "shutdown_timeout", "error_handling", "tests", "allow_commands", *[f"{k}_resources" for k in KINDS])
 BUFFERS = ("none", "memory", "system_window")
+#: Exporters; what they would export is observed by the plan (``Resources.observed``).
+METRICS, TRACERS = ("none", "json_api", "logger"), ("none",)
 
 
 @dataclass
@@ -174,6 +185,9 @@ def lint(config: dict) -> list[str]:
         component(config["output"], outputs.OUTPUTS, "output", "output")
     if config.get("buffer"):
         component(config["buffer"], BUFFERS, "buffer", "buffer")
+    for name, kinds in (("metrics", METRICS), ("tracer", TRACERS)):
+        if config.get(name):
+            component({k: v for k, v in config[name].items() if k != "mapping"} or {"none": {}}, kinds, name, name)
     for i, p in enumerate((config.get("pipeline") or {}).get("processors") or []):
         component(p, PROCESSORS, "processor", f"pipeline.processors.{i}")
     labels = [c.get("label") for k in KINDS for c in config.get(f"{k}_resources") or []]

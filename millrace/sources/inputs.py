@@ -44,12 +44,15 @@ def file(conf, res: Resources) -> Stream:
 
 @input_("csv")
 def csv(conf, res: Resources) -> Stream:
-    """CSV with a header: fields by name, all text; without one: documents that are arrays of text."""
+    """CSV with a header: fields by name, all text; without one: documents that are arrays of text.
+
+    Quoted fields may hold line breaks, so a file is read by one task; ``multi_line: false`` promises that none does, and
+    large files are split."""
     if not conf.get("parse_header_row", True):
         from millrace.sources.scanners import scan
 
         return scan(res.spark, conf["paths"], {"csv": {"parse_header_row": False, "custom_delimiter": conf.get("delimiter", ","), "lazy_quotes": conf.get("lazy_quotes")}})
-    options = {"header": True, "sep": conf.get("delimiter", ","), "inferSchema": False, "escape": '"', "multiLine": bool(conf.get("lazy_quotes"))}
+    options = {"header": True, "sep": conf.get("delimiter", ","), "inferSchema": False, "escape": '"', "multiLine": conf.get("multi_line", True)}
     parts = [res.spark.read.options(**options).csv(p) for p in conf["paths"]]
     df = parts[0]
     for other in parts[1:]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import time
 from collections.abc import Callable
@@ -159,13 +160,14 @@ def fallback(stream: Stream, conf, res: Resources) -> None:
 
 @output("retry")
 def retry(stream: Stream, conf, res: Resources) -> None:
-    most = int(conf.get("max_retries") or 10)
+    """The write again, after waits of up to three seconds, ``max_retries`` times at most (unset or 0: no limit)."""
+    most = int(conf.get("max_retries") or 0)
     wait = 0.1
-    for attempt in range(most + 1):
+    for attempt in itertools.count():
         try:
             return write(stream, conf["output"], res)
         except Exception:
-            if attempt == most:
+            if most and attempt == most:
                 raise
             time.sleep(min(wait, 3))
             wait *= 2
@@ -201,12 +203,12 @@ def reject_errored(stream: Stream, conf, res: Resources) -> None:
 
 @output("cache")
 def cache(stream: Stream, conf, res: Resources) -> None:
-    from millrace.operators.lookups import cache_table
+    from millrace.operators.lookups import put_rows
 
     s = stream.ensure("_seq")
     rows = s.df.select(interpolated(s, conf["key"]).col.alias("key"), s.content().alias("value"), "_seq")
     last = rows.groupBy("key").agg(F.max_by("value", "_seq").alias("value"))
-    res.caches[conf["target"]] = cache_table(res, conf["target"]).join(last, "key", "left_anti").unionByName(last)
+    put_rows(res, conf["target"], last)
 
 
 def _each_partition(stream: Stream, send: Callable) -> None:

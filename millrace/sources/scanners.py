@@ -6,6 +6,7 @@ in one task and cut it there.
 
 from __future__ import annotations
 
+import base64
 import re
 
 import pandas as pd
@@ -17,6 +18,14 @@ from millrace.operators.envelope import ConfigError, Stream, named
 ALGORITHMS = ("gzip", "pgzip", "zlib", "flate", "bzip2", "zstd", "lz4", "snappy")
 
 
+def text_of(piece: bytes) -> str:
+    """The text of a piece; one that is not UTF-8 as base64, like compressed content."""
+    try:
+        return piece.decode()
+    except UnicodeDecodeError:
+        return base64.b64encode(piece).decode()
+
+
 def cut(kind: str, conf: dict, data: bytes, name: str = "") -> list[tuple[str, str | None]]:
     """The records of a file's bytes: (content, key)."""
     if kind == "lines":
@@ -25,12 +34,12 @@ def cut(kind: str, conf: dict, data: bytes, name: str = "") -> list[tuple[str, s
         if parts and parts[-1] == b"":
             parts.pop()
         parts = [p[:-1] if by == b"\n" and p.endswith(b"\r") else p for p in parts]
-        return [(p.decode("utf-8", "replace"), None) for p in parts if p or not conf.get("omit_empty")]
+        return [(text_of(p), None) for p in parts if p or not conf.get("omit_empty")]
     if kind == "to_the_end":
-        return [(data.decode("utf-8", "replace"), None)]
+        return [(text_of(data), None)]
     if kind == "chunker":
         n = int(conf["size"])
-        return [(data[i : i + n].decode("utf-8", "replace"), None) for i in range(0, len(data), n)]
+        return [(text_of(data[i : i + n]), None) for i in range(0, len(data), n)]
     if kind == "re_match":
         text = data.decode("utf-8", "replace")
         starts = [m.start() for m in re.finditer(conf["pattern"], text, re.M)]
@@ -67,7 +76,7 @@ def cut(kind: str, conf: dict, data: bytes, name: str = "") -> list[tuple[str, s
         import tarfile
 
         with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as t:
-            return [(t.extractfile(m).read().decode("utf-8", "replace"), m.name) for m in t if m.isfile()]
+            return [(text_of(t.extractfile(m).read()), m.name) for m in t if m.isfile()]
     if kind == "csv":
         import csv
         import io

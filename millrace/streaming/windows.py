@@ -9,7 +9,10 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from millrace.lang import compile as C
+from millrace.lang.parser import parse
 from millrace.operators.envelope import ConfigError, Stream
 
 _UNITS = {"ns": "nanoseconds", "us": "microseconds", "ms": "milliseconds", "s": "seconds", "m": "minutes", "h": "hours"}
@@ -34,16 +37,22 @@ def window_of(size: str, slide: str | None = None, offset: str | None = None):
 
 
 def system_window(stream: Stream, conf: dict) -> Stream:
-    """Rows told into windows of ``timestamp`` (a field, or ``timestamp_mapping`` ``root = this.<field>``): each window is a batch whose name is its
+    """Rows told into windows of ``timestamp`` (a field) or what ``timestamp_mapping`` gives (a time, its text, or unix seconds); rows without
+    one belong to no window and go. Each window is a batch whose name is its
     end; a row of several sliding windows comes once for each. Metadata has ``window_end_timestamp``."""
+    s = stream.ensure("_seq", "_meta")
     field = conf.get("timestamp")
     if field is None:
-        m = re.fullmatch(r"\s*(?:root\s*=\s*)?this\.([A-Za-z_][\w]*)\s*", conf.get("timestamp_mapping", ""))
-        if not m:
-            raise ConfigError("system_window needs a timestamp field")
-        field = m[1]
-    s = stream.ensure("_seq", "_meta")
-    df = event_time(s.df, field, conf.get("allowed_lateness")).where(F.col("_time").isNotNull())
+        if not conf.get("timestamp_mapping"):
+            raise ConfigError("system_window needs a timestamp field or mapping")
+        made = C.compile_mapping(parse(conf["timestamp_mapping"]), s.env())
+        if made.root is None:
+            raise ConfigError("timestamp_mapping gives no value")
+        v, field = made.root, "_ts"
+        ts = F.timestamp_seconds(v.col) if isinstance(v.type, T.NumericType) else v.col.try_cast("timestamp") if isinstance(v.type, T.StringType) else v.col.cast("timestamp")
+        error = C.either(made.error, v.error)
+        s = Stream(s.df.withColumn("_ts", ts if error is None else F.when(error.isNull(), ts)))
+    df = event_time(s.df, field, conf.get("allowed_lateness")).where(F.col("_time").isNotNull()).drop("_ts")
     df = df.withColumn("_window", window_of(conf["size"], conf.get("slide"), conf.get("offset")))
     end = F.date_format(F.col("_window.end"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     meta = F.map_concat(F.map_filter("_meta", lambda k, _: k != "window_end_timestamp"), F.create_map(F.lit("window_end_timestamp"), end))

@@ -188,6 +188,27 @@ def test_workflow_layers():
         layers_of(b)
 
 
+def test_workflow_tells_what_failed(spark):
+    s = Stream(spark.createDataFrame([(1, "5"), (2, "x")], "id int, foo string"))
+    branches = {"b1": {"request_map": "root.v = this.foo", "processors": [{"mapping": "root.r = this.v.number()"}], "result_map": "root.bar = this.r"}, "b2": {"request_map": "root.v = this.id", "processors": [{"mapping": "root.r = this.v + 1"}], "result_map": "root.next = this.r"}}
+    out = {r["id"]: r for r in run(s, {"workflow": {"branches": branches}}).df.collect()}
+    assert out[1]["meta"]["workflow"]["succeeded"] == ["b1", "b2"] and out[1]["meta"]["workflow"]["failed"] is None and out[1]["_error"] is None
+    assert out[2]["meta"]["workflow"]["succeeded"] == ["b2"] and list(out[2]["meta"]["workflow"]["failed"]) == ["b1"] and out[2]["next"] == 3
+    assert "b1" in out[2]["_error"]["message"]
+
+
+def test_file_cache_keeps_what_is_written(spark, tmp_path):
+    res = Resources(spark=spark, caches={"c": {"file": {"directory": str(tmp_path / "c")}}})
+    conf = lambda op: {"cache": {"resource": "c", "operator": op, "key": "${! content().string() }", "value": "v-${! content().string() }"}}
+    run(texts(spark, "a", "b"), conf("set"), res=res)
+    assert sorted(p.name for p in (tmp_path / "c").iterdir() if p.suffix != ".crc") == ["a", "b"] and (tmp_path / "c" / "a").read_text() == "v-a"
+    added = run(texts(spark, "b", "d"), conf("add"), res=res).df.collect()
+    assert sorted(r["_error"] is None for r in added) == [False, True] and (tmp_path / "c" / "d").exists()
+    run(texts(spark, "a"), conf("delete"), res=res)
+    got = run(texts(spark, "a", "d"), conf("get"), res=res).df.collect()
+    assert not (tmp_path / "c" / "a").exists() and sorted((r["_content"], r["_error"] is None) for r in got) == [("a", False), ("v-d", True)]
+
+
 def test_retry_and_while(spark):
     out = run(texts(spark, "1", "x"), {"retry": {"max_retries": 2, "processors": [{"mapping": "root.v = content().string().number()"}]}})
     rows = out.df.collect()

@@ -19,6 +19,40 @@ def test_substitution():
     assert substitute("a: ${X:5}\nb: ${Y}", {"Y": "z"}) == "a: 5\nb: z"
 
 
+def test_substitution_with_a_function():
+    assert substitute("${X:YSBi|base64decode} ${Y|base64decode} ${Z:a}", {"Y": "eg=="}) == "a b z a"
+    with pytest.raises(ConfigError):
+        substitute("${X:bar|upper}", {})
+
+
+def test_lint_of_exporters():
+    assert lint({"metrics": {"nonsense": {}}}) and lint({"tracer": {"wat": {}}})
+    assert not lint({"metrics": {"json_api": {}, "mapping": "root = this"}, "tracer": {"none": {}}})
+
+
+def test_csv_with_line_breaks_in_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    rows = inputs.read({"csv": {"paths": [str(tmp_path / "a.csv")]}}, Resources(spark=spark)).df.collect()
+    assert sorted((r["a"], r["b"]) for r in rows) == [("1", "x\ny"), ("2", "z")]
+
+
+def test_chunks_that_are_no_text():
+    import base64
+
+    pieces = [c for c, _ in cut("chunker", {"size": 3}, "äöü".encode())]
+    assert b"".join(base64.b64decode(p) for p in pieces) == "äöü".encode()
+    assert [c for c, _ in cut("chunker", {"size": 2}, "äöü".encode())] == ["ä", "ö", "ü"]
+
+
+def test_imports_from_files(spark, tmp_path):
+    (tmp_path / "shapes.blobl").write_text("map twice { root = this * 2 }")
+    (tmp_path / "whole.blobl").write_text("root.w = this.v + 1")
+    conf = {"input": {"generate": {"count": 2, "mapping": "root.v = counter()"}}, "pipeline": {"processors": [{"mapping": f'import "{tmp_path}/shapes.blobl"\nroot.v = this.v\nroot.t = this.v.apply("twice")'}, {"mapping": f'from "{tmp_path}/whole.blobl"'}]}}
+    assert sorted(r["w"] for r in Pipeline.of(conf, spark).stream().df.collect()) == [2, 3]
+    with pytest.raises(ConfigError):
+        Pipeline.of({"input": conf["input"], "pipeline": {"processors": [{"mapping": 'import "/nowhere"\nroot = this'}]}}, spark).stream()
+
+
 CONFIG = """
 input:
   generate:

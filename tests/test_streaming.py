@@ -36,6 +36,14 @@ def test_buffer_names_its_batches(spark):
         windows.interval("1 fortnight")
 
 
+def test_buffer_of_an_expression(spark):
+    df = spark.createDataFrame([(1, "2024-01-01 14:30:00", 1704119400), (2, "no time", 1704119400)], "id int, t string, s long")
+    by_text = windows.system_window(Stream.of(df, "id"), {"timestamp_mapping": 'root = this.t.ts_parse("2006-01-02 15:04:05")', "size": "1h"}).df.collect()
+    assert [(r["id"], r["_batch"]) for r in by_text] == [(1, "2024-01-01T15:00:00Z")]
+    by_number = windows.system_window(Stream.of(df, "id"), {"timestamp_mapping": "root = this.s + 3600", "size": "1h"}).df.collect()
+    assert [(r["_batch"], "_ts" in r) for r in by_number] == [("2024-01-01T16:00:00Z", False)] * 2
+
+
 def test_stream_with_restart(spark, tmp_path):
     schema = "id long, ts timestamp, kind string"
     rows = [(i, T0 + datetime.timedelta(minutes=i), "ab"[i % 2]) for i in range(20)]
