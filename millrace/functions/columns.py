@@ -400,8 +400,9 @@ def _whole(name: str, low: int, high: int, kind: str):
         if not is_num(v.type):
             raise NotCompilable("text as a whole number")
         n = number(v)
-        if is_int(n.type):
-            ok = (n.col >= low) & (n.col <= high) if name != "int64" else F.lit(True)
+        if is_int(n.type):  # bounds past those of a long hold anyway
+            ok = F.lit(True) if low < -(1 << 62) else n.col >= low
+            ok = ok if high > 1 << 62 else ok & (n.col <= high)
         else:
             ok = (n.col == F.floor(n.col)) & (n.col >= float(low)) & (n.col < float(high) + 1)
         col = F.when(ok, n.col).cast(kind)
@@ -1065,6 +1066,11 @@ def _java(parts: list[tuple[str, str]], reading: bool) -> str:
 
 def _formatter(parts_of):
     def run(env, target, format=None, tz=None):
+        if isinstance(target, C.P.Method) and target.name == "ts_tz":  # the zone of the instant shows here
+            given = (*target.args, *(a for _, a in target.named))
+            if len(given) != 1:
+                raise NotCompilable("a zone")
+            target, tz = target.target, given[0] if tz is None else tz
         if format is None:
             t = C.stamp(C.compile_expr(target, env))
             if tz is not None:

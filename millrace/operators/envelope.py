@@ -192,6 +192,26 @@ class Resources:
         return self.imports[path]
 
 
+_own: dict[str, str] = {}
+
+
+def scratch_folder(spark) -> str:
+    """The folder that all executors see: spark.checkpoint.dir, or where that is unset one of our own, on a local master alone."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ConfigError("spark.checkpoint.dir must name a folder that all executors see")
+    if "dir" not in _own:
+        import atexit
+        import shutil
+        import tempfile
+
+        _own["dir"] = tempfile.mkdtemp(prefix="millrace-checkpoint-")
+        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
+    return "file://" + _own["dir"]
+
+
 def cut(stream: Stream) -> Stream:
     """Run the plan so far and go on from its rows, written to the folder of spark.checkpoint.dir; a stream goes on as it is.
 
@@ -202,17 +222,7 @@ def cut(stream: Stream) -> Stream:
         return stream
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import atexit
-        import shutil
-        import tempfile
-
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if sc.master.split("[")[0] != "local":
-                raise ConfigError("spark.checkpoint.dir must name a folder that all executors see")
-            where = tempfile.mkdtemp(prefix="millrace-checkpoint-")
-            atexit.register(shutil.rmtree, where, ignore_errors=True)
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(scratch_folder(df.sparkSession))
     return Stream(df.checkpoint())
 
 

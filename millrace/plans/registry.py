@@ -825,3 +825,6 @@ def stream_mapping(spark, sf_dir):
 
     s = Stream(file_stream(spark, f"{sf_dir}/events.parquet"))
     return drained(fields(through(s, {"mapping": 'root = if this.event_type == "click" { deleted() } else { {"id": this.event_id, "doubled": this.value * 2} }'})))
+
+
+from millrace.plans import queries_more  # noqa: E402, F401  (registration)
