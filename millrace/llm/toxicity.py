@@ -169,17 +169,26 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, dis
 
 
 def fit_curve(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray | float = 1.0, ridge: float = 0.01) -> tuple[float, float]:
-    """Slope and offset of a logistic curve over the stretched evidence, each row ``weight`` times (Newton's method)."""
+    """Slope and offset of a logistic curve over the stretched evidence, each row ``weight`` times (Newton's method, steps
+    halved until the penalised likelihood, which is concave, rises: whole steps can leave its maximum for good)."""
     x = np.stack([stretched(evidence), np.ones(len(evidence))], axis=1)
+
+    def likelihood(beta: np.ndarray) -> float:
+        z = x @ beta
+        return float(np.sum(weight * (toxic * z - np.logaddexp(0, z))) - ridge / 2 * beta @ beta)
+
     beta = np.zeros(2)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+    best = likelihood(beta)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -60, 60)))
         gradient = x.T @ (weight * (toxic - p)) - ridge * beta
         hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
-        beta += np.clip(step, -5, 5)
+        while np.abs(step).max() >= 1e-8 and (reached := likelihood(beta + step)) < best:
+            step = step / 2
         if np.abs(step).max() < 1e-8:
             break
+        beta, best = beta + step, reached
     return float(beta[0]), float(beta[1])
 
 

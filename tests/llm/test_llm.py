@@ -168,6 +168,21 @@ def test_license_scan(spark):
 
 
 @here
+def test_toxicity_curve_is_the_likeliest():
+    """Whole Newton steps left the maximum on evidence like this and called nearly every ordinary text toxic."""
+    rng = np.random.default_rng(7)
+    ordinary = np.concatenate([rng.normal(0.045, 0.012, 17_000), rng.normal(-0.4, 0.1, 150), np.zeros(900)])
+    toxic = np.concatenate([rng.normal(0.14, 0.035, 1_900), rng.uniform(0.8, 1.8, 150)])
+    e, y = np.concatenate([ordinary, toxic]), np.concatenate([np.zeros(len(ordinary)), np.ones(len(toxic))])
+    for weight in (1.0, np.where(y == 1, 1.3, 1.0)):
+        slope, offset = toxicity.fit_curve(e, y, weight)
+        x = toxicity.stretched(e)
+        p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -60, 60)))
+        assert abs((weight * (y - p)) @ x - 0.01 * slope) < 1e-4 and abs((weight * (y - p)).sum() - 0.01 * offset) < 1e-4
+        assert (p[y == 0] >= 0.5).mean() < 0.02 and (p[y == 1] >= 0.5).mean() > 0.9
+    assert toxicity.fit_curve(np.zeros(4), np.array([0.0, 1.0, 0.0, 1.0])) == (0.0, 0.0)
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs = spark.createDataFrame([(i, t) for i, t in _toxic_corpus()], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int("idiot" in t or "moron" in t)) for i, t in _toxic_corpus()], "doc_id long, toxic int")
