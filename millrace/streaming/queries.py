@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.envelope import Stream
+from millrace.operators.envelope import Stream, scratch_folder
 
 
 def file_stream(spark: SparkSession, path: str, schema=None, max_files: int | None = None) -> DataFrame:
@@ -31,19 +31,27 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 def drained(df: DataFrame, mode: str = "append", shuffle_partitions: int = 4) -> DataFrame:
     """Run a stream over all that is there now and return its result as a table.
 
-    The memory sink holds the result on the driver: for tests and registered queries with small results only; jobs write
-    to a table with ``written``.
+    The result lies as Parquet in the folder of spark.checkpoint.dir, so the driver holds none of its rows: of "complete"
+    the last state, else what every batch brought. As in any Parquet table, structs have fields, and names differ by more
+    than case.
     """
     spark = df.sparkSession
-    name = f"drained_{uuid.uuid4().hex}"
+    folder = f"{scratch_folder(spark)}/drained-{uuid.uuid4().hex}"
+    out, check = f"{folder}/out", f"{folder}/check"
+    where = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)  # a stream without rows may run no batch
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", shuffle_partitions)
     try:
-        q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-        q.awaitTermination()
+        if mode == "append":
+            written(df, out, check)
+        else:
+            each_batch(df, lambda s, n: s.df.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/{n}"), check, mode)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    return spark.table(name)
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(check), True)
+    return spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(out)
 
 
 def written(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -51,9 +59,9 @@ def written(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
     df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def each_batch(df: DataFrame, use: Callable[[Stream, int], None], checkpoint: str) -> None:
+def each_batch(df: DataFrame, use: Callable[[Stream, int], None], checkpoint: str, mode: str = "append") -> None:
     """Run a stream to its end, handing each micro-batch to ``use``; a batch that raises is handed over again on restart."""
-    df.writeStream.foreachBatch(lambda b, n: use(Stream(b), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    df.writeStream.outputMode(mode).foreachBatch(lambda b, n: use(Stream(b), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def deduplicated(df: DataFrame, keys: list[str], ts: str | None = None, lateness: str = "1h") -> DataFrame:

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import subprocess
+import sys
+import textwrap
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.operators.envelope import ConfigError, Stream
 from millrace.streaming import queries, windows
 
+ROOT = str(Path(__file__).resolve().parent.parent)
 T0 = datetime.datetime(2024, 1, 1, 15, 0, 0)
 
 
@@ -78,6 +83,40 @@ def test_a_sink_that_fails_gets_its_batch_again(spark, tmp_path):
     assert sorted(seen) == list(range(50))
 
 
+def test_the_driver_holds_no_rows_of_a_drained_stream(tmp_path):
+    code = f"""
+        import sys
+        sys.path.insert(0, {ROOT!r})
+        from pyspark.sql import SparkSession
+        import __spark_entry__ as entry
+        conf = {{"spark.driver.maxResultSize": "1m", "spark.ui.enabled": "false"}}
+        spark = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+        spark.range(300000).selectExpr("id AS event_id", "current_timestamp() AS ts", "id AS user_id", "if(id % 3 = 0, 'click', 'view') AS event_type", "rand(1) AS value", "'' AS props").write.parquet({str(tmp_path)!r} + "/events.parquet")
+        done = entry.queries()["stream_mapping"](spark, {str(tmp_path)!r})
+        assert done.count() == done.select("id").distinct().count() == 200000
+        assert done.selectExpr("sum(id)").first()[0] == sum(i for i in range(300000) if i % 3)
+    """
+    ran = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0, ran.stderr[-3000:]
+
+
+def test_drained_in_every_mode(spark, tmp_path):
+    schema = "id long, kind string"
+    for k in range(2):
+        spark.createDataFrame([(10 * k + i, "ab"[i % 2]) for i in range(10)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: queries.file_stream(spark, str(tmp_path / "in"), schema, max_files=1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    counts = lambda mode: sorted(tuple(r) for r in queries.drained(read().groupBy("kind").count(), mode, 2).collect())
+    assert sorted(r["id"] for r in queries.drained(read()).collect()) == list(range(20))
+    assert counts("complete") == [("a", 10), ("b", 10)]
+    assert counts("update") == [("a", 5), ("a", 10), ("b", 5), ("b", 10)]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    (tmp_path / "none").mkdir()
+    none = lambda: queries.file_stream(spark, str(tmp_path / "none"), schema)
+    assert queries.drained(none()).collect() == queries.drained(none().groupBy("kind").count(), "complete").collect() == []
+    assert queries.drained(none()).schema == none().schema
+
+
 def test_http_source(spark):
     import http.server
     import threading
