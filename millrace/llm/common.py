@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,45 @@ def slices(batch, column: str, most: int = SLICE):
         at = end
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, forget: Callable[[], None]) -> None:
+    """``operator`` keeps something in a worker from task to task; ``forget`` drops it."""
+    _kept[operator] = forget
+
+
+def _returned() -> None:
+    """Give free memory of this process back to the system: its allocators keep it otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(step: Callable[[Iterator], Iterator], operator: str = "") -> Callable[[Iterator], Iterator]:
+    """A Python step that leaves no memory to those after it.
+
+    Workers are used again by all steps of a session, so what one keeps (``keeps``) counts in the executor's memory until the
+    worker ends: a step first drops what operators other than its own keep, and at its end returns what is free.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        from millrace.llm.common import _kept, _returned  # the worker's own module, which outlives a task
+
+        for name, forget in _kept.items():
+            if name != operator:
+                forget()
+        _returned()
+        yield from step(batches)
+        _returned()
+
+    return run
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone; all other letters stay."""
     return F.translate(c, UPPER, UPPER.lower())

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import attach, filtered, staged
+from millrace.llm.common import attach, filtered, keeps, lean, staged
 
 WIDTH = 10
 #: Words of benchmark items in one broadcast: about 270 bytes each in a worker.
@@ -93,6 +93,7 @@ def _parts(benchmark: DataFrame, broadcast_words: int) -> Iterator[list[tuple[ob
 
 
 _built: dict[str, WindowSet] = {}
+keeps("decontamination", _built.clear)
 
 
 def _window_set(name: str, items: list, width: int) -> WindowSet:
@@ -129,7 +130,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH,
                     items.append(sorted(str(x) for x in found if x is not None) + [None] * (None in found))
                 yield pd.DataFrame({"doc_id": b["doc_id"], "_h": b["_h"], "n_words": n, "spans": spans, "items": items})
 
-        return rows.mapInPandas(run, schema)
+        return rows.mapInPandas(lean(run, "decontamination"), schema)
 
     parts = _parts(benchmark, broadcast_words)
     part = next(parts)

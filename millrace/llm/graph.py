@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import attach, staged, unstage
+from millrace.llm.common import attach, lean, staged, unstage
 
 MAX_ROUNDS = 60
 #: Links that a task holds at a time.
@@ -77,8 +77,8 @@ def components(links: DataFrame) -> DataFrame:
     now = links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
     rounds, outs = [], []
     for _ in range(MAX_ROUNDS):
-        forest = now.mapInArrow(_forest, "x long, r long").repartition("x").sortWithinPartitions("x", "r")
-        out = staged(forest.mapInArrow(_joined, "kind int, a long, b long"), "joined")
+        forest = now.mapInArrow(lean(_forest), "x long, r long").repartition("x").sortWithinPartitions("x", "r")
+        out = staged(forest.mapInArrow(lean(_joined), "kind int, a long, b long"), "joined")
         outs.append(out)
         rounds.append(out.where("kind = 0").select("a", "b"))
         now = out.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))

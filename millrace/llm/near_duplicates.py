@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import attach, filtered, groups, slices, staged, unstage
+from millrace.llm.common import attach, filtered, groups, lean, slices, staged, unstage
 from millrace.llm.graph import components
 
 BASE, RATE, TOP = 1.001, 20.0, 65534
@@ -179,7 +179,7 @@ def _sketched(docs: DataFrame, width: int, m: int) -> DataFrame:
                     names=["doc_id", "_h", "node", "n", "sketch"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, _h long, node long, n long, sketch binary")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, _h long, node long, n long, sketch binary")
 
 
 def _bands(nodes: DataFrame, rows: int) -> DataFrame:
@@ -193,7 +193,7 @@ def _bands(nodes: DataFrame, rows: int) -> DataFrame:
             take = np.repeat(np.arange(batch.num_rows), per)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch["node"].take(pa.array(take)), batch["n"].take(pa.array(take))], names=["band", "node", "n"])
 
-    return nodes.mapInArrow(run, "band long, node long, n long")
+    return nodes.mapInArrow(lean(run), "band long, node long, n long")
 
 
 def _buckets(bands: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float, slack: float)
             keep = pa.array(reaches(x, y, np.asarray(batch["n1"], np.float64), np.asarray(batch["n2"], np.float64), cut, threshold - cut))
             yield pa.RecordBatch.from_arrays([batch["node"].filter(keep), batch["hub"].filter(keep)], names=["node", "hub"])
 
-    return pairs.join(two, "hub").join(one, "node").mapInArrow(run, "node long, hub long")
+    return pairs.join(two, "hub").join(one, "node").mapInArrow(lean(run), "node long, hub long")
 
 
 def _fine(texts: DataFrame, width: int) -> DataFrame:
@@ -250,7 +250,7 @@ def _fine(texts: DataFrame, width: int) -> DataFrame:
             for batch in slices(whole, "text"):
                 yield pa.RecordBatch.from_arrays([batch["node"], pa.array([sketch(s, a, b).tobytes() for s in shingle_sets(batch["text"], width)], pa.binary())], names=["node", "fine"])
 
-    return texts.mapInArrow(run, "node long, fine binary")
+    return texts.mapInArrow(lean(run), "node long, fine binary")
 
 
 def _likely_in_blocks(now: DataFrame, chosen: DataFrame, fine: DataFrame, threshold: tuple[int, int], slack: float, rows: int) -> DataFrame:
@@ -288,7 +288,7 @@ def _likely_in_blocks(now: DataFrame, chosen: DataFrame, fine: DataFrame, thresh
                 b.append(np.full(len(ok), ids[h]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["node", "hub"])
 
-    return laid.select(*order, "role", "node", "n", "comp", "fine", "sketch").mapInArrow(run, "node long, hub long").distinct()
+    return laid.select(*order, "role", "node", "n", "comp", "fine", "sketch").mapInArrow(lean(run), "node long, hub long").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
@@ -318,7 +318,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: tuple[
                         found.append((node, hub))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
-    return laid.select("node", "hub", "share", "role", "text").mapInArrow(run, "a long, b long")
+    return laid.select("node", "hub", "share", "role", "text").mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), rows: int = ROWS, miss: float = MISS, slack: float = SLACK) -> DataFrame:

@@ -21,6 +21,7 @@ columns are ignored; an empty table gives an empty folder and no rows.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import new_path, slices
+from millrace.llm.common import keeps, lean, new_path, slices
 
 END_ID = 1
 #: Pieces, and words of pieces, that a worker remembers; about 150 bytes each.
@@ -161,6 +162,18 @@ def _encoder(path: str, dtype: str) -> PieceEncoder:
     return PieceEncoder(path, dtype)
 
 
+def _forget() -> None:
+    """Nothing to encode is left to this worker: no encoder, no tokenizer, and objects are collected again."""
+    gc.enable()
+    if _encoder.cache_info().currsize or _tokenizer.cache_info().currsize:
+        _encoder.cache_clear()
+        _tokenizer.cache_clear()
+        gc.collect()
+
+
+keeps("tokens", _forget)
+
+
 def _put(folder: str, name: str, data) -> None:
     import uuid
 
@@ -184,7 +197,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
     laid = rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
         import uuid
 
         from pyspark import TaskContext
@@ -212,7 +224,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
         _put(folder, f"{name}.len", n.tobytes())
         yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(n)], "tokens": [int(n.sum())], "nulls": [nulls]})
 
-    counts = sorted(laid.mapInArrow(run, "part long, docs long, tokens long, nulls long").collect())  # one row a part
+    counts = sorted(laid.mapInArrow(lean(run, "tokens"), "part long, docs long, tokens long, nulls long").collect())  # one row a part
     base, parts = 0, []
     for r in counts:
         parts.append({"part": r["part"], "docs": r["docs"], "tokens": r["tokens"], "nulls": r["nulls"], "base": base})
@@ -230,7 +242,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
             yield b[["part"]]
 
     if parts:
-        _part_rows(spark, parts).mapInPandas(index, "part long").count()
+        _part_rows(spark, parts).mapInPandas(lean(index), "part long").count()
     _put(folder, "manifest.json", json.dumps({"dtype": dtype, "end_id": end_id, "parts": parts}).encode())
     for r in parts:
         files.delete_file(f"{root}/part-{r['part']:05d}.len")
@@ -281,7 +293,7 @@ def _read(spark, folder: str, schema: str, of, name: str) -> DataFrame:
                     out[name] = [of(ids[offsets[k] - base : offsets[k + 1] - base]) for k in range(i, j)]
                     yield out
 
-    return _part_rows(spark, parts).mapInPandas(run, schema)
+    return _part_rows(spark, parts).mapInPandas(lean(run), schema)
 
 
 def op5_token_files(spark, sf_dir: str) -> DataFrame:

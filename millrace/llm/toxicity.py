@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, attach, filtered, staged, text_or_empty, unstage
+from millrace.llm.common import WORD, attach, filtered, lean, staged, text_or_empty, unstage
 
 PER_CLASS = 20_000
 DISCOUNT = 2.0
@@ -206,7 +206,7 @@ def evidence(docs: DataFrame, model: Model, tables: tuple[DataFrame, DataFrame]
             e = b["evidence"].to_numpy(float) if "evidence" in b else np.asarray([own.evidence(t) for t in b["text"]], float)
             yield pd.DataFrame({"doc_id": b["doc_id"], "_h": b["_h"], "evidence": e, "score": own.score(e)})
 
-    return rows.mapInPandas(run, f"doc_id {kind}, _h long, evidence double, score double")
+    return rows.mapInPandas(lean(run), f"doc_id {kind}, _h long, evidence double, score double")
 
 
 def _joined_evidence(rows: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:

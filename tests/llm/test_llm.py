@@ -12,10 +12,11 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, embeddings, graph, licenses, mixing, near_duplicates, pii, queries, secret_scans, tokens, toxicity, urls
+from millrace.llm import common, decontamination, embeddings, graph, licenses, mixing, near_duplicates, pii, queries, secret_scans, tokens, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not Path(SF).exists(), reason="the tables are not here")
@@ -868,3 +869,25 @@ def test_copies_just_below_the_threshold_stay_apart(spark):
     texts = dict(rows)
     assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"], texts[r["doc_id"]]] for r in out)
     assert len({r["component_id"] for r in out}) > 40
+
+
+def test_steps_leave_nothing_in_workers_to_others(spark, tmp_path):
+    def kept(batches):
+        import gc
+
+        from millrace.llm import decontamination as d
+        from millrace.llm import tokens as t
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"encoders": [t._encoder.cache_info().currsize], "sets": [len(d._built)], "collects": [int(gc.isenabled())]})
+
+    probe = lambda: spark.range(0, 32, 1, 8).mapInArrow(kept, "encoders long, sets long, collects long").collect()
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine ten eleven {i}") for i in range(64)], "doc_id long, text string").repartition(8)
+    bench = spark.createDataFrame([(1, "two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    assert decontamination.contamination(docs, bench).where("size(spans) > 0").count() == 64
+    tokens.write_token_files(docs, str(tmp_path / "t"), vocabulary())
+    assert any(r["encoders"] for r in probe())  # kept from task to task while texts are encoded
+    for _ in range(3):  # tasks may take any of the idle workers
+        near_duplicates.near_duplicates(docs).count()
+    spark.range(0, 64, 1, 16).mapInArrow(common.lean(lambda batches: batches), "id long").count()
+    assert all(tuple(r) == (0, 0, 1) for r in probe())
